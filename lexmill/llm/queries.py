@@ -4,7 +4,22 @@ from __future__ import annotations
 
 from lexmill.session import table
 
+from . import p04_chunks as p4
 from . import p05_group_splits as p5
+from . import p06_sentences as p6
+
+
+def p4_found(spark, sf_dir):
+    legal = table(spark, sf_dir, "legal_documents").select("id", "extracted_text")
+    return p4.found(legal, table(spark, sf_dir, "legal_summary_dataset").select("dataset_id", "input_text"))
+
+
+def p4_pieces(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    legal = p4.pieces(table(spark, sf_dir, "legal_documents").select("id", "extracted_text"), "id", "extracted_text")
+    pairs = p4.pieces(table(spark, sf_dir, "legal_summary_dataset").select("dataset_id", "input_text"), "dataset_id", "input_text")
+    return legal.withColumn("source_table", F.lit("legal_documents")).unionByName(pairs.withColumn("source_table", F.lit("legal_summary_dataset")))
 
 
 def p5_found(spark, sf_dir):
@@ -15,12 +30,27 @@ def p5_splits(spark, sf_dir):
     return p5.splits(table(spark, sf_dir, "legal_summary_dataset").select("dataset_id", "document_id", "summary_id"))
 
 
+def p6_found(spark, sf_dir):
+    return p6.found(table(spark, sf_dir, "legal_documents").select("id", "mime_type", "extracted_text"))
+
+
+def p6_sentences(spark, sf_dir):
+    return p6.units(table(spark, sf_dir, "legal_documents").select("id", "extracted_text"), "id", "extracted_text")
+
+
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_splits": p5_splits,
+    "p6_found": p6_found,
+    "p6_sentences": p6_sentences,
 }
 
 SQL: dict[str, str] = {
+    "p4_found": """
+SELECT 'legal_documents' AS source_table, CAST(id AS VARCHAR) AS row_key FROM legal_documents WHERE length(extracted_text) > 6000
+UNION SELECT 'legal_summary_dataset', dataset_id FROM legal_summary_dataset WHERE length(input_text) > 6000""",
     "p5_found": """
 WITH RECURSIVE r AS (SELECT DISTINCT dataset_id, CASE WHEN document_id > 0 THEN document_id END d, CASE WHEN summary_id > 0 THEN summary_id END s
   FROM legal_summary_dataset WHERE dataset_id IS NOT NULL),
