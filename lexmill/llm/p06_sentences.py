@@ -60,13 +60,24 @@ def masked(text: Column) -> Column:
     x = r(x, r"\.(?=\.)", DOT)
     x = r(x, rf"\.(?<={DOT}\.)(?=\s*[\p{{Ll}}\p{{Lo}}])", DOT)
     x = r(x, r"…(?=…|\s*[\p{Ll}\p{Lo}])", ELL)
-    # quotations and brackets: their stops belong to the sentence around them
-    for o, c, stops in (("“", "”", ".!?。！？"), ("«", "»", ".!?"), ("「", "」", "。！？"), ("『", "』", "。！？"), (OPEN, CLOSE, ".!?"), ("(", ")", ".!?"), ("（", "）", "。！？")):
-        for stop in stops:
-            x = r(x, rf"\Q{stop}\E(?=(?:[^\Q{o}{c}\E\n]|\n(?!\s*\n)){{0,400}}\Q{c}\E)", MASKS[STOPS.index(stop)])
     return x
 
 
+# Quotations and brackets: their stops belong to the sentence around them.
+_PAIRS = (("“", "”", ".!?。！？"), ("«", "»", ".!?"), ("「", "」", "。！？"), ("『", "』", "。！？"), (OPEN, CLOSE, ".!?"), ("(", ")", ".!?"), ("（", "）", "。！？"))
+
+
+def masked_inside(df: DataFrame, col: str) -> DataFrame:
+    """``col`` with the stops inside each kind of quotation and bracket masked. A kind is one projection, entered only
+    by the rows that hold its closing mark, since the search ahead of every stop costs more than all other masks."""
+    for o, c, stops in _PAIRS:
+        x = F.col(col)
+        for stop in stops:
+            x = F.regexp_replace(x, rf"\Q{stop}\E(?=(?:[^\Q{o}{c}\E\n]|\n(?!\s*\n)){{0,400}}\Q{c}\E)", MASKS[STOPS.index(stop)])
+        df = df.withColumn(col, F.when(F.col(col).contains(c), x).otherwise(F.col(col)))
+    return df
+
+
 def marked(x: Column) -> Column:
     """Masked text with a mark after every unit."""
     r = F.regexp_replace
@@ -88,7 +99,9 @@ def marked(x: Column) -> Column:
 def units(df: DataFrame, key: str, text: str, with_text: bool = True) -> DataFrame:
     """(document_id, sentence_no, start_pos, end_pos[, sentence]) of every unit."""
     body = df.select(F.col(key).alias("document_id"), F.col(text).alias("body")).filter("body is not null")
-    cut = body.select("document_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(marked(masked(F.col("body"))), MARK, -1)).alias("i", "piece"))
+    # the row's number is given before the pieces are made: repeated ids stay apart
+    body = masked_inside(body.select("document_id", F.monotonically_increasing_id().alias("row"), masked(F.col("body")).alias("body")), "body")
+    cut = body.select("document_id", "row", F.posexplode(F.split(marked(F.col("body")), MARK, -1)).alias("i", "piece"))
     blank = r"[\s ​﻿]"
     cut = cut.select("document_id", "row", "i", F.length("piece").alias("n"), F.length(F.regexp_replace("piece", rf"{blank}+\z", "")).alias("kept"), F.length(F.regexp_extract("piece", rf"\A{blank}*", 0)).alias("lead"), *(["piece"] if with_text else []))
     w = Window.partitionBy("row").orderBy("i")
