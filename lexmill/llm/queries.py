@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from lexmill.session import table
 
+from . import p02_pairs as p2
 from . import p04_chunks as p4
 from . import p05_group_splits as p5
 from . import p06_sentences as p6
 
 
+def p2_found(spark, sf_dir):
+    return p2.defects(table(spark, sf_dir, "legal_summary_dataset").select("dataset_id", "input_text", "target_summary"))
+
+
 def p4_found(spark, sf_dir):
     legal = table(spark, sf_dir, "legal_documents").select("id", "extracted_text")
     return p4.found(legal, table(spark, sf_dir, "legal_summary_dataset").select("dataset_id", "input_text"))
@@ -39,6 +44,7 @@ def p6_sentences(spark, sf_dir):
 
 
 QUERIES = {
+    "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
