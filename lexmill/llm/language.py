@@ -39,7 +39,7 @@ def language(text: Column) -> Column:
         # Japanese mixes kana with the letters it shares with Chinese
         hit = c * 8 >= n - latin if code == "ja" else c * 2 >= n - latin
         script = F.when(hit, code) if script is None else script.when(hit, code)
-    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}'’]+", "  "), F.lit(" "))
+    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}'’]+", "  "), F.lit(" "))
     hits = {code: F.regexp_count(words, F.lit(" (?:" + "|".join(sorted(set(w.split()), key=len, reverse=True)) + ") ")) for code, w in WORDS.items()}
     best = F.greatest(*hits.values())
     lat = None

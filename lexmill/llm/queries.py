@@ -5,9 +5,11 @@ from __future__ import annotations
 from lexmill.session import table
 
 from . import p02_pairs as p2
+from . import p03_personal as p3
 from . import p04_chunks as p4
 from . import p05_group_splits as p5
 from . import p06_sentences as p6
+from . import p08_leaks as p8
 
 
 def p2_found(spark, sf_dir):
@@ -43,14 +45,36 @@ def p6_sentences(spark, sf_dir):
     return p6.units(table(spark, sf_dir, "legal_documents").select("id", "extracted_text"), "id", "extracted_text")
 
 
+def p8_found(spark, sf_dir):
+    return p8.found(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def p8_matches(spark, sf_dir):
+    return p8.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def p3_found(spark, sf_dir):
+    return p3.found(table(spark, sf_dir, "legal_documents").select("id", "extracted_text"), table(spark, sf_dir, "summaries").select("id", "parties"))
+
+
+def p3_redacted(spark, sf_dir):
+    legal, summaries = table(spark, sf_dir, "legal_documents").select("id", "extracted_text"), table(spark, sf_dir, "summaries").select("id", "parties")
+    # the key of a demonstration; production passes its own secret
+    return p3.redacted(legal, summaries, key=b"lexmill demonstration key")
+
+
 QUERIES = {
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_redacted": p3_redacted,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_splits": p5_splits,
     "p6_found": p6_found,
     "p6_sentences": p6_sentences,
+    "p8_found": p8_found,
+    "p8_matches": p8_matches,
 }
 
 SQL: dict[str, str] = {
