@@ -41,7 +41,8 @@ def fold(x: Column) -> Column:
     """A skeleton of ``x`` that confused characters, lost accents and wrong encodings leave alike: lower case, only
     ASCII letters and digits, confusable letters folded; words are parted by single blanks."""
     r = F.regexp_replace
-    x = F.lower(x)
+    # a sharp s is two letters in capitals; so are its wrongly decoded bytes
+    x = F.lower(r(x, r"ß|Ã[Ÿ\x9f]", "ss"))
     # outside ASCII there are accents, wrongly decoded bytes and lost characters; a dash or an ellipsis parts words
     x = r(x, r"[–—…]|â€[“”¦]|â\x80[\x93\x94¦]", " ")
     x = r(x, r"[^\x00-\x7F]+|['`]", "")

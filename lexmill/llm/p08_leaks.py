@@ -32,8 +32,11 @@ def _terms(x):
 
 
 def item_terms(items: DataFrame) -> DataFrame:
-    """(item_id, ipos, term) of the test items."""
-    t = items.filter("item_id is not null and text is not null").select("item_id", F.posexplode(_terms(fold(F.col("text")))).alias("ipos", "term")).distinct()
+    """(item_id, ipos, term, lost) of the test items."""
+    words = lambda x: _terms(fold(x))
+    # the second form is that of a text whose sharp s is lost
+    both = F.arrays_zip(words(F.col("text")).alias("term"), words(F.replace("text", F.lit("ß"), F.lit(""))).alias("lost"))
+    t = items.filter("item_id is not null and text is not null").select("item_id", F.posexplode(both).alias("ipos", "w")).select("item_id", "ipos", "w.term", F.coalesce("w.lost", "w.term").alias("lost")).distinct()
     t = cut(t)
     if t.count() > MAX_TERMS:
         raise ValueError("the test items are too many to be broadcast; index them in parts")
@@ -45,6 +48,7 @@ def variants(terms: DataFrame) -> DataFrame:
     five or more; a form that is a term itself stands for that term only."""
     own = terms.select("term").distinct()
     lost = own.filter("length(term) >= 5").select("term", F.explode(F.sequence(F.lit(1), F.length("term"))).alias("k")).select(F.expr("concat(substring(term, 1, k - 1), substring(term, k + 1))").alias("seen"), "term")
+    lost = lost.unionByName(terms.filter("lost <> term").select(F.col("lost").alias("seen"), "term"))
     lost = lost.join(own.select(F.col("term").alias("seen")), "seen", "left_anti")
     return own.select(F.col("term").alias("seen"), "term").unionByName(lost).distinct()
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from lexmill.session import table
 
+from . import p01_scan_noise as p1
 from . import p02_pairs as p2
 from . import p03_personal as p3
 from . import p04_chunks as p4
 from . import p05_group_splits as p5
 from . import p06_sentences as p6
+from . import p07_reading as p7
 from . import p08_leaks as p8
 
 
@@ -63,7 +65,29 @@ def p3_redacted(spark, sf_dir):
     return p3.redacted(legal, summaries, key=b"lexmill demonstration key")
 
 
+def p1_found(spark, sf_dir):
+    return p1.found(table(spark, sf_dir, "legal_documents").select("id", "mime_type", "extracted_text"))
+
+
+def p1_repaired(spark, sf_dir):
+    return p1.repaired(table(spark, sf_dir, "legal_documents").select("id", "mime_type", "extracted_text"))
+
+
+def _p7_inputs(spark, sf_dir):
+    return table(spark, sf_dir, "legal_documents").select("id", "extracted_text"), table(spark, sf_dir, "summaries").select("id", "citizen_summary"), table(spark, sf_dir, "reading_labels")
+
+
+def p7_found(spark, sf_dir):
+    return p7.found(*_p7_inputs(spark, sf_dir))
+
+
+def p7_levels(spark, sf_dir):
+    return p7.levels(*_p7_inputs(spark, sf_dir))
+
+
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_repaired": p1_repaired,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_redacted": p3_redacted,
@@ -73,6 +97,8 @@ QUERIES = {
     "p5_splits": p5_splits,
     "p6_found": p6_found,
     "p6_sentences": p6_sentences,
+    "p7_found": p7_found,
+    "p7_levels": p7_levels,
     "p8_found": p8_found,
     "p8_matches": p8_matches,
 }
