@@ -48,7 +48,8 @@ def fold(x: Column) -> Column:
     x = r(x, r"[^\x00-\x7F]+|['`]", "")
     x = r(x, r"(?<=[a-z])[!|](?=[a-z])", "l")
     x = r(x, r"[^a-z0-9]+", " ")
-    x = F.trim(x)
+    # signs that stand for letters first: with them a pair may be complete
+    x = F.translate(F.trim(x), "01", "ol")
     for a, b in FOLDS:
         x = F.replace(x, F.lit(a), F.lit(b))
     return F.translate(x, FOLD_FROM, FOLD_TO)

@@ -34,9 +34,11 @@ from pyspark.sql import functions as F
 
 from .cues import FOLD_FROM, FOLD_TO, FOLDS
 
-WORD_SHARE, CONTEXT_SHARE, SHAPE_SHARE = 2e-5, 5e-4, 2e-3
-RATIO, ALIKE, EXPECTED, DIM, WINDOW = 12, 0.6, 0.2, 48, 2
-_TABLE = str.maketrans(FOLD_FROM, FOLD_TO)
+WORD_SHARE, CONTEXT_SHARE, SHAPE_SHARE = 2e-5, 2e-4, 2e-3
+RATIO, ALIKE, DIM, WINDOW = 12, 0.6, 48, 2
+# the least context score of a correction, by the word's length: few words lie one glyph from a long one
+EXPECTED = {2: 0.5, 3: 0.1, 4: 0.03}
+_TABLE, _SIGNS = str.maketrans(FOLD_FROM, FOLD_TO), str.maketrans("01!|", "olll")
 _TOKEN = re.compile(r"[^\W_]+(?:[!|][^\W_]+)*")
 _COMPOUND = re.compile(r"(?<![^\W_])[^\W\d_]{2,}-[^\W\d_]{2,}(?![^\W_])")
 _N = r"[0-9OolIS]{0,3}[0-9][0-9OolIS]{0,3}"
@@ -51,7 +53,7 @@ _GLITCH = re.compile(r"(?:[^\W\d_]{2,}[0159!|][^\W\d_]+|[^\W\d_]+[0159!|][^\W\d_
 
 
 def skeleton(word: str) -> str:
-    w = word.lower()
+    w = word.lower().translate(_SIGNS)
     for a, b in FOLDS:
         w = w.replace(a, b)
     return w.translate(_TABLE)
@@ -83,7 +85,7 @@ def shape(line: str) -> str | None:
     return out if low <= 2 else None
 
 
-def edge_lines(lines: list[str]) -> dict[int, str]:
+def edge_lines(lines: list[str], everywhere: bool = False) -> dict[int, str]:
     """Shapes of the short lines at an edge: next to a blank line, a page number, or the text's start or end."""
     free = [not x.strip() or is_page_number(x) for x in lines]
     out = {}
@@ -91,7 +93,7 @@ def edge_lines(lines: list[str]) -> dict[int, str]:
         s = line.strip()
         if free[i] or not 2 < len(s) <= 90 or s[0].islower() or s[-1] in ".,;:?!-¬\xad。！？।።":
             continue
-        if i == 0 or i == len(lines) - 1 or free[i - 1] or free[i + 1]:
+        if everywhere or i == 0 or i == len(lines) - 1 or free[i - 1] or free[i + 1]:
             f = shape(line)
             if f:
                 out[i] = f
@@ -244,6 +246,9 @@ class Page:
                 self.noise.append((i, "page_number"))
                 self.furniture.add(i)
         edges = edge_lines(self.lines)
+        known = {head_key(self.lines[i]) for i, f in edges.items() if f in model.furniture}
+        # a header may stand within a paragraph, with nothing around it
+        edges |= {i: f for i, f in edge_lines(self.lines, everywhere=True).items() if i not in edges and (f in model.furniture or head_key(self.lines[i]) in known)}
         key = {i: head_key(self.lines[i]) for i in edges}
         often = Counter(key.values())
         for i, f in edges.items():
@@ -300,7 +305,7 @@ class Page:
                     # a misreading stands where the right word stands
                     good = model.alike(w, f) >= ALIKE and (w not in around)
                 else:
-                    good = any(c.isdigit() or c in "!|" for c in w) or model.expected(f, around) >= EXPECTED
+                    good = any(c.isdigit() or c in "!|" for c in w) or model.expected(f, around) >= EXPECTED.get(len(w), 0.0)
                 if good:
                     self.fixes.setdefault(i, []).append((s, e, _case(m.group(), f)))
                     bad = True
