@@ -12,6 +12,8 @@ from . import p05_group_splits as p5
 from . import p06_sentences as p6
 from . import p07_reading as p7
 from . import p08_leaks as p8
+from . import p09_mixture as p9
+from . import p10_subjects as p10
 
 
 def p2_found(spark, sf_dir):
@@ -85,6 +87,22 @@ def p7_levels(spark, sf_dir):
     return p7.levels(*_p7_inputs(spark, sf_dir))
 
 
+def _p9_inputs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "text"), table(spark, sf_dir, "mix_targets")
+
+
+def p9_mixture(spark, sf_dir):
+    return p9.mixture(*_p9_inputs(spark, sf_dir))
+
+
+def p9_shares(spark, sf_dir):
+    return p9.shares(*_p9_inputs(spark, sf_dir))
+
+
+def p10_found(spark, sf_dir):
+    return p10.found(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "subject_labels").select("doc_id", "subject"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_repaired": p1_repaired,
@@ -101,6 +119,9 @@ QUERIES = {
     "p7_levels": p7_levels,
     "p8_found": p8_found,
     "p8_matches": p8_matches,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
 }
 
 SQL: dict[str, str] = {
