@@ -7,6 +7,7 @@ from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Frequent function words of the languages written in Latin letters.
 WORDS = {
@@ -48,7 +49,7 @@ def detect(text: str | None) -> str | None:
     return best if hits[best] else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def language(text: pd.Series) -> pd.Series:
     """The language of each text; whole texts are read, in batches. The counts of listed words take a set here and some
     hundred alternatives at every blank in a pattern."""

@@ -23,6 +23,7 @@ any length is one document. Texts of files that weren't scanned are counted in p
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -40,7 +41,8 @@ RATIO, ALIKE, DIM, WINDOW = 12, 0.6, 48, 2
 EXPECTED = {2: 0.5, 3: 0.1, 4: 0.03}
 _TABLE, _SIGNS = str.maketrans(FOLD_FROM, FOLD_TO), str.maketrans("01!|", "olll")
 _TOKEN = re.compile(r"[^\W_]+(?:[!|][^\W_]+)*")
-_COMPOUND = re.compile(r"(?<![^\W_])[^\W\d_]{2,}-[^\W\d_]{2,}(?![^\W_])")
+_COMPOUND = re.compile(r"[^\W\d_]{2,}-[^\W\d_]{2,}")
+_PLAIN = re.compile(r"\w+")
 _N = r"[0-9OolIS]{0,3}[0-9][0-9OolIS]{0,3}"
 _PAGE = re.compile(
     rf"\s*(?:\d{{1,4}}|{_N}|[-–—─]+\s*{_N}\s*[-–—─]+|\[\s*{_N}\s*\]|\(\s*{_N}\s*\)|{_N}\s*/\s*{_N}"
@@ -85,18 +87,20 @@ def shape(line: str) -> str | None:
     return out if low <= 2 else None
 
 
-def edge_lines(lines: list[str], everywhere: bool = False) -> dict[int, str]:
+def edge_lines(lines: list[str], everywhere: bool = False, free: list[bool] | None = None) -> dict[int, str]:
     """Shapes of the short lines at an edge: next to a blank line, a page number, or the text's start or end."""
-    free = [not x.strip() or is_page_number(x) for x in lines]
-    out = {}
+    if free is None:
+        free = [not x or x.isspace() or is_page_number(x) for x in lines]
+    out, last = {}, len(lines) - 1
     for i, line in enumerate(lines):
+        if free[i] or not (everywhere or i == 0 or i == last or free[i - 1] or free[i + 1]):
+            continue
         s = line.strip()
-        if free[i] or not 2 < len(s) <= 90 or s[0].islower() or s[-1] in ".,;:?!-¬\xad。！？।።":
+        if not 2 < len(s) <= 90 or s[0].islower() or s[-1] in ".,;:?!-¬\xad。！？।።" or sum(w[0].islower() for w in s.split()) > 3:
             continue
-        if everywhere or i == 0 or i == len(lines) - 1 or free[i - 1] or free[i + 1]:
-            f = shape(line)
-            if f:
-                out[i] = f
+        f = shape(line)
+        if f:
+            out[i] = f
     return out
 
 
@@ -110,8 +114,8 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, compounds, scan, plain, again, n = Counter(), Counter(), Counter(), Counter(), Counter(), [0, 0]
         for text, scanned in zip(b["text"], b["scanned"], strict=True):
             low = text.lower()
-            words.update(_TOKEN.findall(low))
-            compounds.update(_COMPOUND.findall(low))
+            words.update(_PLAIN.findall(low))
+            compounds.update(x for w in low.split() if "-" in w and "@" not in w for x in _COMPOUND.findall(w))
             n[bool(scanned)] += 1
             lines = text.split("\n")
             edges = edge_lines(lines)
@@ -133,8 +137,21 @@ class Model:
         self.by_skeleton: dict[str, list[str]] = {}
         for w in self.ids:
             self.by_skeleton.setdefault(skeleton(w), []).append(w)
+        # words that need no second look: frequent, of letters, and alone with their skeleton
+        self.good = frozenset(w for x in self.by_skeleton.values() if len(x) == 1 for w in x if w.isalpha())
+        self.verdicts: dict[str, tuple[str | None, bool]] = {}
         self.vectors = self.contexts = None
 
+    def verdict(self, word: str) -> tuple[str | None, bool]:
+        """(the neighbour, whether the word is misread by its looks), remembered."""
+        v = self.verdicts.get(word)
+        if v is None:
+            if len(self.verdicts) > 500_000:
+                self.verdicts.clear()
+            f = None if len(word) < 2 or word.isdigit() else self.neighbour(word)
+            v = self.verdicts[word] = (f, f is None and len(word) > 2 and bool(_GLITCH.fullmatch(word)))
+        return v
+
     def neighbour(self, word: str) -> str | None:
         """The most frequent word with the same skeleton, if it is another one and far more frequent."""
         own = self.words.get(word, 0)
@@ -178,11 +195,12 @@ def learn(texts: DataFrame) -> Model:
     ids, k = model.ids, max(1, len(model.ids))
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = ids.get
         for b in batches:
             # texts one after another, parted by more unknown words than the window is wide
             flat: list[int] = []
             for text in b["text"]:
-                flat += [ids.get(w, -1) for w in _TOKEN.findall(text.lower())]
+                flat += [get(w, -1) for w in _PLAIN.findall(text.lower())]
                 flat += [-1] * WINDOW
             seq = np.asarray(flat, dtype=np.int64)
             codes = []
@@ -226,6 +244,10 @@ def _joins(left: str, mark: str, right: str, model: Model) -> bool:
     return not (a in model.words and b in model.words and model.words[a] > 50 and model.words[b] > 50 and skeleton(a + b) not in model.by_skeleton)
 
 
+_BANG = re.compile(r"[!|](?=\s+[a-zà-ÿ])")
+_BEFORE = re.compile(r"[^\W_]*[^\W\d_]\Z")
+
+
 class Page:
     """One document's lines with what is wrong with each."""
 
@@ -236,19 +258,21 @@ class Page:
         self.joined: dict[int, int] = {}
         self.fixes: dict[int, list[tuple[int, int, str]]] = {}
         self._furniture(model)
-        body = [i for i, x in enumerate(self.lines) if i not in self.furniture and x.strip()]
+        body = [i for i, x in enumerate(self.lines) if i not in self.furniture and x and not x.isspace()]
         self._breaks(body, model)
-        self._words(body, model)
+        self._words(text, body, model)
 
     def _furniture(self, model: Model) -> None:
+        free = [not x or x.isspace() for x in self.lines]
         for i, x in enumerate(self.lines):
-            if is_page_number(x):
+            if not free[i] and is_page_number(x):
                 self.noise.append((i, "page_number"))
                 self.furniture.add(i)
-        edges = edge_lines(self.lines)
+                free[i] = True
+        edges = edge_lines(self.lines, free=free)
         known = {head_key(self.lines[i]) for i, f in edges.items() if f in model.furniture}
         # a header may stand within a paragraph, with nothing around it
-        edges |= {i: f for i, f in edge_lines(self.lines, everywhere=True).items() if i not in edges and (f in model.furniture or head_key(self.lines[i]) in known)}
+        edges |= {i: f for i, f in edge_lines(self.lines, everywhere=True, free=free).items() if i not in edges and (f in model.furniture or head_key(self.lines[i]) in known)}
         key = {i: head_key(self.lines[i]) for i in edges}
         often = Counter(key.values())
         for i, f in edges.items():
@@ -258,6 +282,8 @@ class Page:
 
     def _breaks(self, body: list[int], model: Model) -> None:
         for i, nxt in zip(body, [*body[1:], None][: len(body)], strict=True):
+            if self.lines[i].rstrip()[-1:] not in "-¬\xad‐":
+                continue
             m = _END_MARK.search(self.lines[i])
             if not m:
                 continue
@@ -267,69 +293,86 @@ class Page:
                 if right:
                     self.joined[i] = nxt
 
-    def _words(self, body: list[int], model: Model) -> None:
+    def _words(self, text: str, body: list[int], model: Model) -> None:
+        """Only words that are not plainly right are looked for in their places."""
+        low = text.lower()
+        if len(low) != len(text):  # a letter whose lower case is longer would shift the places
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        suspects = [w for w in set(_TOKEN.findall(low)) - model.good if model.verdict(w) != (None, False)]
+        starts, at = [], 0
+        for x in self.lines:
+            starts.append(at)
+            at += len(x) + 1
         into = {j: i for i, j in self.joined.items()}
-        tail: list[str] = []
-        for i in body:
-            line = self.lines[i]
-            found = list(_TOKEN.finditer(line))
-            low = [m.group().lower() for m in found]
-            bad = False
-            for k, m in enumerate(found):
-                w, s, e = low[k], m.start(), m.end()
-                if len(w) < 2 or w.isdigit():
-                    continue
-                if w in model.ids and w.isalpha() and len(model.by_skeleton.get(skeleton(w), ())) == 1:
-                    continue
-                if line[s - 1 : s] in ("@", "_") or line[e : e + 1] in ("@", "_") or (line[e : e + 1] == "." and line[e + 1 : e + 2].isalnum()) or (line[s - 1 : s] == "." and line[s - 2 : s - 1].isalnum()):
-                    continue
-                if (i in self.joined and k == len(found) - 1) or (i in into and k == 0):
-                    if not re.search(r"[^\W\d_][0159!|][^\W\d_]", w) and not self._half(i, into, k, low, model):
-                        continue
-                    bad = True
-                    continue
-                # a sign that stands for a letter may end the word
-                if line[e : e + 1] in ("!", "|") and re.match(r"[!|]\s+[^\W\d_]", line[e : e + 4]) and line[e + 1 :].lstrip()[:1].islower():
-                    f = model.neighbour(w + line[e])
-                    if f and w not in model.words:
-                        self.fixes.setdefault(i, []).append((s, e + 1, f))
-                        bad = True
-                        continue
-                f = model.neighbour(w)
-                if f is None:
-                    if _GLITCH.fullmatch(w) and any(c.isalpha() for c in w):
-                        bad = True
-                    continue
-                around = [*(low[max(0, k - WINDOW) : k] or tail[-WINDOW:]), *low[k + 1 : k + 1 + WINDOW]]
-                if w in model.ids:
-                    # a misreading stands where the right word stands
-                    good = model.alike(w, f) >= ALIKE and (w not in around)
-                else:
-                    good = any(c.isdigit() or c in "!|" for c in w) or model.expected(f, around) >= EXPECTED.get(len(w), 0.0)
-                if good:
-                    self.fixes.setdefault(i, []).append((s, e, _case(m.group(), f)))
-                    bad = True
-            if bad:
-                self.noise.append((i, "misread_characters"))
-            tail = low[-WINDOW:]
-
-    def _half(self, i: int, into: dict[int, int], k: int, low: list[str], model: Model) -> bool:
-        """Whether the half of a broken word in this line holds the misread character of the whole."""
-        if i in self.joined and k == len(low) - 1:
-            left = low[k]
-            right = _TOKEN.search(self.lines[self.joined[i]])
-            whole, here = left + (right.group().lower() if right else ""), slice(0, len(left))
+        bad: set[int] = set()
+        for w in suspects:
+            f, glitch = model.verdict(w)
+            s = low.find(w)
+            while s >= 0:
+                e = s + len(w)
+                if not (low[s - 1 : s].isalnum() or low[e : e + 1].isalnum()):
+                    i = bisect.bisect_right(starts, s) - 1
+                    if i not in self.furniture and self._misread(i, s - starts[i], e - starts[i], w, f, glitch, into, model):
+                        bad.add(i)
+                s = low.find(w, e)
+        for i, j in self.joined.items():
+            for line, part in ((i, -1), (j, 0)):
+                if self._half(line, into, part, model):
+                    bad.add(line)
+        for m in _BANG.finditer(low):  # a sign that stands for a letter may end the word
+            before = _BEFORE.search(low[max(0, m.start() - 40) : m.start()])
+            w = before.group() if before else ""
+            f = model.verdict(w + "!")[0] if w and w not in model.words else None
+            i = bisect.bisect_right(starts, m.start()) - 1
+            if f and i not in self.furniture:
+                self.fixes.setdefault(i, []).append((m.start() - len(w) - starts[i], m.end() - starts[i], f))
+                bad.add(i)
+        self.noise += [(i, "misread_characters") for i in bad]
+
+    def _misread(self, i: int, s: int, e: int, w: str, f: str | None, glitch: bool, into: dict[int, int], model: Model) -> bool:
+        line = self.lines[i]
+        if (s and line[s - 1] in "@_") or line[e : e + 1] in ("@", "_"):
+            return False
+        if (line[e : e + 1] == "." and line[e + 1 : e + 2].isalnum()) or (s and line[s - 1] == "." and line[s - 2 : s - 1].isalnum()):
+            return False
+        found = list(_TOKEN.finditer(line))
+        k = next((n for n, m in enumerate(found) if m.start() == s), None)
+        if k is None:
+            return False
+        if (i in self.joined and k == len(found) - 1) or (i in into and k == 0):
+            return bool(re.search(r"[^\W\d_][0159!|][^\W\d_]", w))
+        if f is None:
+            return glitch
+        words = [m.group().lower() for m in found]
+        around = words[max(0, k - WINDOW) : k]
+        if not k and i:
+            before = next((self.lines[j] for j in range(i - 1, max(-1, i - 8), -1) if j not in self.furniture and self.lines[j].strip()), "")
+            around = [x.lower() for x in _TOKEN.findall(before)[-WINDOW:]]
+        around += words[k + 1 : k + 1 + WINDOW]
+        if w in model.ids:
+            # a misreading stands where the right word stands
+            good = model.alike(w, f) >= ALIKE and w not in around
         else:
-            m = _END_MARK.search(self.lines[into[i]])
-            left = _TOKEN.findall(self.lines[into[i]].lower())[-1:] if m else [""]
-            whole = (left[0] if left else "") + low[k]
-            here = slice(-len(low[k]), None)
-        if whole in model.words:
+            good = any(c.isdigit() or c in "!|" for c in w) or model.expected(f, around) >= EXPECTED.get(len(w), 0.0)
+        if good:
+            self.fixes.setdefault(i, []).append((s, e, _case(line[s:e], f)))
+        return good
+
+    def _half(self, i: int, into: dict[int, int], part: int, model: Model) -> bool:
+        """Whether the half of a broken word in this line (its last word, or its first) holds the misread character."""
+        a, b = (i, self.joined[i]) if part else (into[i], i)
+        left, right = _TOKEN.findall(self.lines[a].lower())[-1:], _TOKEN.search(self.lines[b].lower())
+        left, right = left[0] if left else "", right.group() if right else ""
+        whole = left + right
+        if not left or not right or whole in model.words:
             return False
-        f = model.neighbour(whole)
+        f = model.verdict(whole)[0]
         if not f:
             return False
-        return whole[here] != f[here] if len(f) == len(whole) else (not f.startswith(whole[here]) if here.start == 0 else not f.endswith(whole[here]))
+        own = left if part else right
+        if len(f) == len(whole):
+            return own != (f[: len(left)] if part else f[len(left) :])
+        return not (f.startswith(own) if part else f.endswith(own))
 
     def repaired(self) -> str:
         paragraphs: list[str] = []
