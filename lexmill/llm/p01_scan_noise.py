@@ -411,8 +411,8 @@ def _case(seen: str, word: str) -> str:
 
 
 def texts(legal: DataFrame) -> DataFrame:
-    """(document_id, text, scanned): a file that isn't plain text was scanned."""
-    return legal.select(F.col("id").alias("document_id"), F.col("extracted_text").alias("text"), (F.coalesce(F.col("mime_type"), F.lit("")) != "text/plain").alias("scanned"))
+    """(document_id, text, scanned): a file that isn't plain text was scanned. A row without an id is left out."""
+    return legal.filter("id is not null").select(F.col("id").alias("document_id"), F.col("extracted_text").alias("text"), (F.coalesce(F.col("mime_type"), F.lit("")) != "text/plain").alias("scanned"))
 
 
 def found(legal: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ the picks form no cycle but mutual pairs), the picks are added to the persisted
 parents are shortened by pointer jumping until each names a root. Each round at least halves the components that
 still have an outgoing edge, so the rounds are logarithmic. Every round's state is written to the shared folder.
 
-Nulls, zero and negative ids tie nothing. A null ``dataset_id`` names no record and is left out. Exact duplicate
+Nulls, zero and negative ids tie nothing. One ``dataset_id`` in several rows is one record with all their keys. A null ``dataset_id`` names no record and is left out. Exact duplicate
 rows are one record. An empty table gives an empty result.
 """
 
@@ -78,6 +78,10 @@ def grouped(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records with group_id and the group's size, the persisted spanning forest)."""
     rec = cut(records(df))
     edges = rec.filter("d is not null and s is not null").groupBy(F.col("d").alias("a"), F.col("s").alias("b")).agg(F.min("dataset_id").alias("weight"))
+    # a record filed under several ids ties their keys: each to its smallest
+    key = F.explode(F.array_compact(F.array("d", "s"))).alias("key")
+    many = rec.groupBy("dataset_id").agg(F.count("*").alias("n"), F.min(F.least("d", "s")).alias("hub")).filter("n > 1 and hub is not null").drop("n")
+    edges = edges.unionByName(many.join(rec, "dataset_id").select("dataset_id", "hub", key).filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b"), F.col("dataset_id").alias("weight")))
     labels, forest = spanning_forest(edges)
     lab = labels.select(F.col("node").alias("key"), "root")
     # a key that no edge joins to another is its own root; a record without keys is its own group

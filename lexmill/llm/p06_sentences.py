@@ -81,9 +81,8 @@ def masked_inside(df: DataFrame, col: str) -> DataFrame:
 def marked(x: Column) -> Column:
     """Masked text with a mark after every unit."""
     r = F.regexp_replace
-    stops = r"[.!?؟…]"
     # a stop (with its closers) before a blank; the text's end needs no mark
-    x = r(x, rf"((?:{stops}|[।።፧])+{CLOSERS}*)(?=\s)", "$1" + MARK)
+    x = r(x, rf"([.!?؟…।።፧]+{CLOSERS}*)(?=\s)", "$1" + MARK)
     # stops of scripts without blanks
     x = r(x, rf"([。！？।።፧]+{CLOSERS}*)(?![。！？\s{MARK}])", "$1" + MARK)
     # a missing blank after a stop

@@ -130,4 +130,4 @@ def shares(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, bloc
     goal = spark.createDataFrame([(s, share) for s, share, _, _ in plan], "source string, target_share double")
     out = goal.join(got, "source", "left").fillna(0, ["n_tokens", "n_documents", "most_repeats"])
     # at most MAX_SOURCES rows
-    return out.withColumn("actual_share", F.coalesce(F.col("n_tokens") / F.sum("n_tokens").over(Window.partitionBy()), F.lit(0.0))).select("source", "target_share", "actual_share", "n_tokens", "n_documents", "most_repeats")
+    return out.withColumn("actual_share", F.coalesce(F.try_divide("n_tokens", F.sum("n_tokens").over(Window.partitionBy())), F.lit(0.0))).select("source", "target_share", "actual_share", "n_tokens", "n_documents", "most_repeats")

@@ -6,8 +6,8 @@ one node and never a clique of pairs. Edges are verified: a term stays a node on
 to one subject (``LEAN``), so words that all files or several subjects share join nothing.
 
 Hand-labelled files are trusted seeds, clamped in every round; a file labelled as none of the subjects seeds a class of its
-own. Each round sends the documents' subjects to the terms and the terms' back to the documents, by joins. Documents keep a
-weight for every subject, so one can hold several. At the end each cue speaks of the subject its telling terms agree on, and a
+own. Each round sends the documents' subjects to the terms and the terms' back to the documents, by joins. A document
+keeps every subject that enough of its cues lean to, so one can hold several. At the end each cue speaks of the subject its telling terms agree on, and a
 document has the subjects that ``THRESHOLD`` of its cues speak of.
 
 A term counts if it stands in ``TERM_SHARE`` of the files or, among the labelled, in ``LEAST`` files, so the telling terms
@@ -67,33 +67,38 @@ def edges(docs: DataFrame) -> DataFrame:
                 sizes += [len(c)] * len(n)
                 terms += n.keys()
                 counts += n.values()
-            yield pd.DataFrame({"doc_id": ids, "n_cues": sizes, "term": terms, "n": counts})
+            if ids:
+                yield pd.DataFrame({"doc_id": ids, "n_cues": sizes, "term": terms, "n": counts})
 
     return written(docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(work, "doc_id long, n_cues int, term string, n int"), "edges")
 
 
 def leaning(e: DataFrame, weights: DataFrame) -> DataFrame:
-    """(term, subject, lean): of the terms' labelled weight the part of each subject, where one has ``LEAN`` of it."""
-    sums = e.join(weights, "doc_id").groupBy("term", "subject").agg(F.sum(F.col("n") * F.col("weight")).alias("w"), F.sum(F.col("weight")).alias("docs"))
-    per = sums.groupBy("term").agg(F.sum("w").alias("all"), F.sum("docs").alias("docs"), F.max(F.struct("w", "subject")).alias("top"))
+    """(term, subject, lean): of the cues with the term in labelled files, the part in files of the subject, where one subject
+    has ``LEAN`` of them and half of what its base rate leaves open. A file of two subjects counts for either, once in all."""
+    total = weights.agg(F.sum("part").alias("t"))
+    # a row for each subject
+    base = weights.groupBy("subject").agg(F.count("*").alias("c")).withColumn("k", F.lit(1)).join(F.broadcast(total.withColumn("k", F.lit(1))), "k").select("subject", (F.col("c") / F.col("t")).alias("base"))
+    sums = e.join(weights, "doc_id").groupBy("term", "subject").agg(F.sum("n").alias("w"), F.sum(F.col("n") * F.col("part")).alias("part"), F.sum("part").alias("docs"))
+    per = sums.groupBy("term").agg(F.sum("part").alias("all"), F.sum("docs").alias("docs"), F.max(F.struct("w", "subject")).alias("top"))
     # one file's worth of doubt keeps rare terms from leaning by chance
-    return per.filter(f"docs >= {LEAST}").select("term", F.col("top.subject").alias("subject"), (F.col("top.w") / (F.col("all") + 0.5)).alias("lean")).filter(f"lean >= {LEAN} and subject <> 'none of them'")
+    return per.filter(f"docs >= {LEAST}").select("term", F.col("top.subject").alias("subject"), (F.col("top.w") / (F.col("all") + 0.5)).alias("lean")).filter(f"lean >= {LEAN} and subject <> 'none of them'").join(F.broadcast(base), "subject").filter("lean >= base + 0.5 * (1 - base)").select("term", "subject", "lean")
 
 
 def propagate(e: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(term, subject, lean) after the rounds."""
     n = labels.groupBy("doc_id").agg(F.count("*").alias("k"))
-    seeds = cut(labels.join(n, "doc_id").select("doc_id", "subject", (1.0 / F.col("k")).alias("weight")))
+    seeds = cut(labels.join(n, "doc_id").select("doc_id", "subject", (1.0 / F.col("k")).alias("part")))
     lean = cut(leaning(e, seeds))
     for _ in range(rounds - 1):
         # to the documents: by subject the share of cues that hold a telling term
         held = e.join(lean, "term").groupBy("doc_id", "subject").agg((F.sum(F.col("n") * F.col("lean")) / F.first("n_cues")).alias("share"))
         free = held.join(seeds.select("doc_id").distinct(), "doc_id", "left_anti")
         kept = free.filter(f"share >= {THRESHOLD}")
-        size = kept.groupBy("doc_id").agg(F.sum("share").alias("all"))
-        soft = kept.join(size, "doc_id").select("doc_id", "subject", (F.col("share") / F.col("all")).alias("weight"))
+        size = kept.groupBy("doc_id").agg(F.count("*").alias("k"))
+        soft = kept.join(size, "doc_id").select("doc_id", "subject", (1.0 / F.col("k")).alias("part"))
         # a document without a subject is of the class of none
-        none = e.select("doc_id").distinct().join(kept.select("doc_id").distinct(), "doc_id", "left_anti").join(seeds.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit("none of them").alias("subject"), F.lit(1.0).alias("weight"))
+        none = e.select("doc_id").distinct().join(kept.select("doc_id").distinct(), "doc_id", "left_anti").join(seeds.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit("none of them").alias("subject"), F.lit(1.0).alias("part"))
         # and back to the terms, with the seeds clamped
         lean = cut(leaning(e, cut(seeds.unionByName(soft).unionByName(none))))
     return lean
