@@ -112,7 +112,7 @@ def pages(text: Column, box_markers: bool = False) -> Column:
     dashes = "[—─━-]" if box_markers else "[—-]"
     marker = rf"(?:^|\n)\s*{dashes}{{2,}}\s*PAGE\s+(\d+)\s*{dashes}{{2,}}\s*\n?"
     x = F.trim(text)
-    numbers = F.transform(F.regexp_extract_all(x, F.lit(rx(marker, "iu")), F.lit(1)), lambda n: n.cast("int"))
+    numbers = F.transform(F.regexp_extract_all(x, F.lit(rx(marker, "iu")), F.lit(1)), lambda n: n.try_cast("int"))
     parts = F.split(x, rx(marker, "iu"), -1)
     paired = F.zip_with(numbers, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda n, t: F.struct(n.alias("page"), sub(t, r"\A\s+|\s+\z", "").alias("text")))
     paired = F.filter(paired, lambda p: p["text"] != "")
