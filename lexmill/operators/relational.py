@@ -175,7 +175,8 @@ def progress(documents: DataFrame, events: DataFrame) -> DataFrame:
     an event is pending at 0."""
     last = events.groupBy("document_id").agg(F.max_by(F.struct("status", "progress"), F.struct("updated_at", "progress")).alias("s"))
     d = documents.select(F.col("id").alias("document_id"))
-    held = F.greatest(F.lit(0), F.least(F.lit(100), F.col("s.progress")))
+    # the bounds would stand in for a missing value
+    held = F.when(F.col("s.progress").isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), F.col("s.progress"))))
     return d.join(last, "document_id", "left").select("document_id", F.coalesce("s.status", F.lit("pending")).alias("status"), F.coalesce(held, F.lit(0)).alias("progress"))
 
 

@@ -512,7 +512,7 @@ def throttle_window(spark, d):
     return relational.throttle(e, "user_id", "ts", F.col("event_type") == "error").select("event_id", "user_id", "failures", "locked")
 
 
-@query("WITH e AS (SELECT (event_id % 500) + 1 AS document_id, event_type AS status, CAST(round(coalesce(value, 0)) AS INTEGER) AS progress, ts AS updated_at, event_id FROM events), l AS (SELECT document_id, status, progress, row_number() OVER (PARTITION BY document_id ORDER BY updated_at DESC, progress DESC, status DESC) AS n FROM e) SELECT d.id AS document_id, coalesce(l.status, 'pending') AS status, CAST(coalesce(greatest(0, least(100, l.progress)), 0) AS BIGINT) AS progress FROM legal_documents d LEFT JOIN l ON l.document_id = d.id AND n = 1")
+@query("WITH e AS (SELECT (event_id % 500) + 1 AS document_id, event_type AS status, CAST(round(coalesce(value, 0)) AS INTEGER) AS progress, ts AS updated_at, event_id FROM events), l AS (SELECT document_id, status, progress, row_number() OVER (PARTITION BY document_id ORDER BY updated_at DESC, progress DESC, status DESC) AS n FROM e) SELECT d.id AS document_id, coalesce(l.status, 'pending') AS status, CAST(CASE WHEN l.progress IS NULL THEN 0 ELSE greatest(0, least(100, l.progress)) END AS BIGINT) AS progress FROM legal_documents d LEFT JOIN l ON l.document_id = d.id AND n = 1")
 def progress_latest(spark, d):
     e = table(spark, d, "events").select((F.col("event_id") % 500 + 1).alias("document_id"), F.col("event_type").alias("status"), F.round(F.coalesce("value", F.lit(0.0))).cast("int").alias("progress"), F.col("ts").alias("updated_at"))
     return relational.progress(_legal(spark, d, "id"), e).withColumn("progress", F.col("progress").cast("long"))

@@ -47,10 +47,10 @@ def latest_progress(path: str) -> Callable[[DataFrame, int], None]:
     return sink
 
 
-def throttled(events: DataFrame, limit: int = 5, window_s: int = 7200) -> DataFrame:
+def throttled(events: DataFrame, limit: int = 5, window_s: int = 7200, late: str = "1 hour") -> DataFrame:
     """(user_id, locked_at) of every lockout: ``limit`` failures within the window, cleared by a success. Events are
     ``(user_id, at, failed)`` with ``at`` in seconds; a user's state is the times of the failures that still count, at most
-    ``limit``, and ends with the window."""
+    ``limit``, and ends when the watermark passes the window. (Processing time would keep an ``availableNow`` run alive.)"""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -69,10 +69,11 @@ def throttled(events: DataFrame, limit: int = 5, window_s: int = 7200) -> DataFr
                 out.append((key[0], int(at)))
                 kept = []
         state.update((kept,))
-        state.setTimeoutDuration(window_s * 1000)
+        state.setTimeoutTimestamp(max((int(rows["at"].max()) + window_s) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["user_id", "locked_at"])
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, locked_at long", "failures array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withColumn("_t", F.timestamp_seconds("at")).withWatermark("_t", late)
+    return timed.groupBy("user_id").applyInPandasWithState(step, "user_id long, locked_at long", "failures array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def fold_example(weights: dict[str, float], terms: list[tuple[str, float]], cap: int = MODEL) -> dict[str, float]:

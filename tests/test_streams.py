@@ -39,8 +39,10 @@ def test_latest_progress(spark, tmp_path):
 
 def test_throttle_clears_on_success(spark, tmp_path):
     rows = [(1, i, True) for i in range(5)] + [(2, 0, True), (2, 1, True), (2, 2, True), (2, 3, True), (2, 4, False), (2, 5, True)] + [(3, i * 3000, True) for i in range(5)]
+    base = 1_700_000_000
+    rows = [(u, base + at, failed) for u, at, failed in rows]
     run(streams.throttled(stream(spark, tmp_path, rows, "user_id long, at long, failed boolean")), "th", "append")
-    assert [tuple(r) for r in spark.sql("select * from th").collect()] == [(1, 4)]
+    assert [tuple(r) for r in spark.sql("select * from th").collect()] == [(1, base + 4)]
 
 
 def test_learning_is_cut_after_every_example(spark, tmp_path):
