@@ -10,7 +10,7 @@ from lexmill.functions import extract as X
 from lexmill.functions import lexicons as L
 from lexmill.functions import text as T
 from lexmill.operators import clauses, evidence, keywords, learned, payload, relational, report, rouge, search
-from lexmill.session import table
+from lexmill.session import spread, table
 
 from . import ansi as A
 from .analysis import analyse, documents, typed, with_sentences, with_tokens
@@ -36,7 +36,7 @@ def _legal(spark: SparkSession, d: str, *cols: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return documents(_legal(spark, d))
+    return documents(spread(_legal(spark, d)))
 
 
 # --- text ---------------------------------------------------------------------------------------------------------------
@@ -233,7 +233,7 @@ def court_orders(spark, d):
 
 @query()
 def document_analysis(spark, d):
-    x = analyse(_legal(spark, d))
+    x = analyse(spread(_legal(spark, d)))
     return x.select(*(F.array_join(c, "|").alias(c) if t.startswith("array") else F.col(c) for c, t in x.dtypes))
 
 
@@ -280,7 +280,7 @@ def opening_keywords(spark, d):
 
 
 def _passages(spark, d):
-    x = _legal(spark, d, "id", "extracted_text").filter("extracted_text is not null").withColumn("terms", F.array(F.lit("legal"), F.lit("document")))
+    x = spread(_legal(spark, d, "id", "extracted_text")).filter("extracted_text is not null").withColumn("terms", F.array(F.lit("legal"), F.lit("document")))
     return evidence.passages(x, "id", "extracted_text", "terms")
 
 
@@ -312,7 +312,7 @@ _EV = f"""e AS (SELECT id, {A.evidence_sentences("trim(extracted_text, ' ')")} A
 
 
 def _evidence(spark, d):
-    return evidence.sentences(_legal(spark, d, "id", "extracted_text").filter("extracted_text is not null"), "id", "extracted_text")
+    return evidence.sentences(spread(_legal(spark, d, "id", "extracted_text")).filter("extracted_text is not null"), "id", "extracted_text")
 
 
 @query(f"WITH {_EV}, r AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY no) AS rank, sentence FROM es WHERE {A.has('sentence', L.DEADLINE, 'i')}) SELECT id, CAST(rank AS BIGINT) AS rank, CAST(1 AS BIGINT) AS page, sentence FROM r WHERE rank <= 4")
@@ -375,7 +375,7 @@ def dense_topk(spark, d):
 
 def _rouge_pairs(spark, d):
     s = table(spark, d, "summaries").select("id", "document_id", "created_at", "professional_summary", "executive_summary", "citizen_summary")
-    return rouge.pairs(s, _legal(spark, d, "id", "extracted_text"))
+    return spread(rouge.pairs(s, _legal(spark, d, "id", "extracted_text")))
 
 
 _PAIRS = "p AS (SELECT s.id, l.extracted_text AS a, trim(coalesce(nullif(professional_summary, ''), nullif(executive_summary, ''), citizen_summary, '')) AS b FROM summaries s JOIN legal_documents l ON s.document_id = l.id), o AS (SELECT * FROM p WHERE length(a) >= 40 AND length(b) >= 20)"
