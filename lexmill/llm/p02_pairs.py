@@ -5,7 +5,7 @@ stands right before one of its continuations, so one look at the next neighbour
 same order, over the last units of the responses and the whole units of all texts, tells a cut unit from a whole one
 in scripts that write no stop. Lengths at which far more responses end than around them are length limits; a response
 that ends there on an unfinished word or abbreviation is cut. Otherwise a response whose script has stops and that
-ends without one is cut.
+ends without one is cut. An ellipsis after a letter or digit is no stop, in any script; neighbours are compared without it.
 
 The order is made in buckets between boundaries taken from a sample; the sample only balances the buckets, and each
 bucket's last text is compared with the next bucket's first, so the result doesn't depend on it. Texts are made
@@ -55,6 +55,8 @@ REFUSALS = (
 LEAD_IN = r"(?:[>\-*#\s\"'“‘«]|(?:summary|answer|response|résumé|réponse|resumo|resposta)\s*[:–—-])*\s*"
 _END = r"[.!?。！？।።፧؟…]"
 _CLOSE = r"[\"'”’»」』)\]*_]"
+# An ellipsis after a letter or digit, perhaps in brackets, stands for text that was left off. Four dots are a stop and an ellipsis.
+_OPEN_DOTS = rf"(?<=[\p{{L}}\p{{M}}\p{{N}}%]{_CLOSE}{{0,3}}\s{{0,3}})[(\[]?(?:\.\s?\.\s?\.|[…⋯]+)[)\]]?$"
 # What a full stop may follow without ending a sentence.
 _ABBREVIATION = r"(?:^|[\s(\[])(?:no|nos|p|pp|para|s|ss|sec|art|arts|pág|mr|mrs|ms|dr|adv|messrs|sr|sra|m|mme|v|vs|e\.g|i\.e|gen|\p{Lu})\.$"
 LEAD_MAX, WORDS_MIN, DENSE_MIN = 90, 60, 120
@@ -114,9 +116,11 @@ def defects(df: DataFrame, key: str = "dataset_id", prompt: str = "input_text",
     text = F.regexp_replace(F.trim(F.col("t")), r"[\s ​﻿]+$", "")
     refusal = F.lower(F.substring(F.regexp_replace("t", "’", "'"), 1, 600)).rlike(r"^\s*" + LEAD_IN + "(?:" + "|".join(f"(?:{r})" for r in REFUSALS) + ")")
     stopless = F.col("lt").isin("th")
-    open_end = ~text.rlike(_END + _CLOSE + "*$") | text.rlike(r"[,;:\-–—](?:\.\.\.|…)$")
+    dotted = text.rlike(_OPEN_DOTS)
+    open_end = ~text.rlike(_END + _CLOSE + "*$") | text.rlike(r"[,;:\-–—](?:\.\.\.|…)$") | dotted
     abbreviation = text.rlike(_ABBREVIATION)
-    pairs = cut(pairs.select("dataset_id", "t", text.alias("text"), F.when(F.col("lp") == "th", F.col("p")).alias("p"), "empty", F.coalesce(copied, F.lit(False)).alias("copied"), refusal.alias("refusal"), "lp", "lt", F.coalesce(stopless, F.lit(False)).alias("stopless"), open_end.alias("open_end"), abbreviation.alias("abbreviation")).distinct())
+    text = F.regexp_replace(text, r"\s*" + _OPEN_DOTS, "")  # neighbours are compared without the dots
+    pairs = cut(pairs.select("dataset_id", "t", text.alias("text"), F.when(F.col("lp") == "th", F.col("p")).alias("p"), "empty", F.coalesce(copied, F.lit(False)).alias("copied"), refusal.alias("refusal"), "lp", "lt", F.coalesce(stopless, F.lit(False)).alias("stopless"), open_end.alias("open_end"), F.coalesce(dotted, F.lit(False)).alias("dotted"), abbreviation.alias("abbreviation")).distinct())
 
     answers = pairs.filter("not empty and not copied")
     after = next_neighbours(answers.select(F.col("text").alias("t")))
@@ -133,7 +137,7 @@ def defects(df: DataFrame, key: str = "dataset_id", prompt: str = "input_text",
     cut_ids = last.join(cut_units, "t", "left_semi").select("dataset_id").distinct().withColumn("cut_unit", F.lit(True))
 
     judged = answers.join(shortened, "text", "left").join(F.broadcast(limits.withColumn("limit_hit", F.lit(True))), F.length("t") == F.col("n"), "left").join(cut_ids, "dataset_id", "left")
-    truncated = ~F.col("refusal") & F.when(F.col("stopless"), F.coalesce("cut_unit", F.lit(False))).otherwise(F.col("open_end") | F.coalesce("shortened", F.lit(False)) | (F.coalesce("limit_hit", F.lit(False)) & F.col("abbreviation")) | F.col("abbreviation"))
+    truncated = ~F.col("refusal") & F.when(F.col("stopless"), F.col("dotted") | F.coalesce("cut_unit", F.lit(False))).otherwise(F.col("open_end") | F.coalesce("shortened", F.lit(False)) | (F.coalesce("limit_hit", F.lit(False)) & F.col("abbreviation")) | F.col("abbreviation"))
     wrong = F.coalesce(F.col("lp") != F.col("lt"), F.lit(False))
     kinds = F.array_compact(F.array(F.when(F.col("refusal"), "refusal"), F.when(truncated, "truncated_answer"), F.when(wrong, "wrong_language")))
     rest = judged.select("dataset_id", F.explode(kinds).alias("defect_type"))

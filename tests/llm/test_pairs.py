@@ -53,3 +53,13 @@ def test_edges(spark):
 
 def test_language():
     assert [detect(t) for t in ("the court and the tenant", "le tribunal et la loi", "o tribunal não foi para a casa", "これは判決である", "被告必须停止", "คู่สัญญา", None, "", "12 34")] == ["en", "fr", "pt", "ja", "zh", "th", None, None, None]
+
+
+def test_ellipsis_leaves_an_answer_open(spark):
+    rows = [
+        ("dots", IN, "The tenant won the case. The court said the clerk..."), ("mark", IN, "The tenant won the case and the employer regist…"), ("apart", IN, "The tenant won the case and the landlord [...]"),
+        ("digit", IN, "The claim of USD 12..."), ("num", IN, "The claim of USD 12."), ("full", IN, "The claim of USD 12.50 was paid."),
+        ("th", "คู่สัญญาต้องชำระเงิน", "ผู้เช่าต้องชำระค่าเช่าทุกเดือน…"), ("th2", "คู่สัญญาต้องชำระเงิน", "ผู้ให้เช่าต้องซ่อมหลังคาบ้าน"),
+        ("stop", IN, "The tenant won. The clerk of the court recorded the order...."), ("quote", IN, "The judge asked for more and said that the clerk was late."),
+    ]
+    assert {i for i, k in defects(spark, rows) if k == "truncated_answer"} == {"dots", "mark", "apart", "digit", "num", "th"}
