@@ -210,6 +210,12 @@ def outcomes(spark, d):
     return with_sentences(_docs(spark, d)).select("id", X.outcome(F.col("text"), F.col("sentences"), F.lit("Legal Document")).alias("outcome"))
 
 
+@query()
+def typed_outcomes(spark, d):
+    """The outcome by each document's type; ``outcomes`` has the rules of a court's document for every one, as its SQL."""
+    return typed(with_sentences(_docs(spark, d))).select("id", "doc_type", X.outcome(F.col("text"), F.col("sentences"), F.col("doc_type")).alias("outcome"))
+
+
 @query()
 def names_found(spark, d):
     x = _docs(spark, d).select("id", X.persons(F.col("text")).alias("persons"), X.organisations(F.col("text")).alias("organisations"), X.judge(F.col("text")).alias("judge"))
@@ -329,9 +335,9 @@ def risky_clauses(spark, d):
 def risk_panel(spark, d):
     sents = _evidence(spark, d)
     n = lambda x, c: x.groupBy("id").agg(F.count("*").alias(c))
-    a = with_sentences(_docs(spark, d)).select("id", X.outcome(F.col("text"), F.col("sentences"), F.lit("Legal Document")).alias("outcome"))
+    a = typed(with_sentences(_docs(spark, d))).select("id", "doc_type", X.outcome(F.col("text"), F.col("sentences"), F.col("doc_type")).alias("outcome"))
     x = a.join(n(evidence.deadlines(sents, "id"), "n_deadlines"), "id", "left").join(n(evidence.risky(sents, "id"), "n_risky"), "id", "left").fillna(0, ["n_deadlines", "n_risky"])
-    return x.select("id", "n_deadlines", "n_risky", C.urgency(F.col("n_deadlines"), F.col("n_risky"), F.when(F.col("outcome") == L.OUTCOME_UNKNOWN, "").otherwise(F.col("outcome")), F.lit("")).alias("urgency"))
+    return x.select("id", "n_deadlines", "n_risky", C.urgency(F.col("n_deadlines"), F.col("n_risky"), F.when(F.col("outcome") == L.OUTCOME_UNKNOWN, "").otherwise(F.col("outcome")), F.col("doc_type")).alias("urgency"))
 
 
 @query()
