@@ -251,6 +251,11 @@ def _tfidf(spark, d):
     return keywords.tfidf(x, "id", "sentences", "tokens")
 
 
+def _keywords(spark, d):
+    """The keywords of each document, by all steps of the score."""
+    return _tfidf(spark, d)
+
+
 _STOP = ", ".join(A.q(w) for w in L.STOP_WORDS)
 _WEAK = lambda t: f"({t} IN ({_STOP}) OR length({t}) < 4 OR regexp_matches({t}, '^[0-9]+$'))"
 _EDGE = ", ".join(A.q(w) for w in L.PHRASE_EDGE)
@@ -285,8 +290,18 @@ def opening_keywords(spark, d):
     return keywords.opening_boosts(_docs(spark, d), "id", "text").withColumn("boost", F.round("boost", 4))
 
 
+def _query_terms(spark, d):
+    """(id, terms): what a document's passages are looked up by: the words of its type, its keywords, areas of law and parties
+    in lower case, and its case number, court and judge as they stand. Repeated terms count again."""
+    x = analyse(spread(_legal(spark, d))).select("id", "doc_type", "categories", "parties", "case_number", "court", "judge")
+    kw = _keywords(spark, d).groupBy("id").agg(F.array_sort(F.collect_list("term")).alias("kw"))
+    lower = lambda c: F.transform(c, lambda t: F.lower(t))
+    parts = F.concat(F.split(F.lower("doc_type"), " "), lower(F.coalesce("kw", F.array().cast("array<string>"))), lower("categories"), lower("parties"), F.array("case_number", "court", "judge"))
+    return x.join(kw, "id", "left").select("id", F.transform(F.array_compact(parts), lambda t: F.trim(t)).alias("terms"))
+
+
 def _passages(spark, d):
-    x = spread(_legal(spark, d, "id", "extracted_text")).filter("extracted_text is not null").withColumn("terms", F.array(F.lit("legal"), F.lit("document")))
+    x = spread(_legal(spark, d, "id", "extracted_text")).filter("extracted_text is not null").join(_query_terms(spark, d), "id")
     return evidence.passages(x, "id", "extracted_text", "terms")
 
 

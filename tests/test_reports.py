@@ -28,3 +28,12 @@ def test_risk_panel_knows_the_type(spark, small):
 
 def test_outcome_of_a_bill_is_its_type_s(spark, small):
     assert {r.id: (r.doc_type, r.outcome) for r in run(spark, small, "typed_outcomes")}[2] == ("Bill", L.OUTCOME_BILL)
+
+
+def test_passages_are_found_by_their_own_document_s_terms(spark, tmp_path):
+    text = "MINING NOTES\n\nThe zirconium furnace stood beside the zirconium kiln, and each zirconium furnace was lit by hand at dawn.\n\nAnother paragraph tells of the village and of its many children who went down to the river."
+    spark.createDataFrame([(1, "notes.pdf", text), (2, "n.pdf", None)], "id long, original_name string, extracted_text string").write.parquet(str(tmp_path / "legal_documents.parquet"))
+    spark.createDataFrame([], "dataset_id long, document_id long, summary_id long, input_text string, target_summary string, summary_type string, created_at timestamp").write.parquet(str(tmp_path / "legal_summary_dataset.parquet"))
+    got = run(spark, str(tmp_path), "passage_scores")
+    first = [r for r in got if r.passage_id == "P1-1"]
+    assert first and first[0].score >= 1.4 and {r.id for r in got} == {1}
