@@ -24,9 +24,10 @@ def _phrases(toks: Column, n: int) -> Column:
     return F.array_distinct(F.filter(good, lambda p: has(p, L.LEGAL_PHRASE, "u")) if n == 3 else good)
 
 
-def tfidf(df: DataFrame, key: str, sentences: str, all_tokens: str, n: int = 20) -> DataFrame:
+def tfidf(df: DataFrame, key: str, sentences: str, all_tokens: str, n: int = 20, boosts: tuple[DataFrame, ...] = ()) -> DataFrame:
     """(key, rank, term, score): the ``n`` best terms of each document, its sentences being the "documents" of the document
-    frequency. A term in no kept sentence has frequency 1; ties go to the term that comes first by name."""
+    frequency. A term in no kept sentence has frequency 1; ties go to the term that comes first by name. Each of ``boosts``,
+    (key, term, boost), is added to the scores, and its terms count where the document's own ranking has none."""
     s = df.select(key, F.posexplode(sentences).alias("i", "s")).select(key, "i", tokens(F.col("s")).alias("t"))
     n_s = df.select(key, F.greatest(F.size(sentences), F.lit(1)).alias("n_s"))
     uni = df.select(key, F.explode(all_tokens).alias("term")).filter(~weak(F.col("term"))).groupBy(key, "term").agg(F.count("*").cast("double").alias("tf"))
@@ -37,7 +38,12 @@ def tfidf(df: DataFrame, key: str, sentences: str, all_tokens: str, n: int = 20)
     idf = F.log((1 + F.col("n_s")) / (1 + F.coalesce("df", F.lit(1)))) + 1
     score = F.col("tf") * idf * F.when(F.col("term").contains(" "), 1.35).otherwise(1.0) * F.when(has(F.col("term"), L.LEGAL_PHRASE, "u"), 1.2).otherwise(1.0)
     w = Window.partitionBy(key).orderBy(F.desc("score"), "term")
-    return terms.withColumn("score", F.round(score, 4)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select(key, "rank", "term", "score")
+    scored = terms.select(key, "term", F.round(score, 4).alias("score"))
+    if boosts:
+        for b in boosts:
+            scored = scored.unionByName(b.select(key, "term", F.col("boost").alias("score")))
+        scored = scored.groupBy(key, "term").agg(F.round(F.sum("score"), 4).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select(key, "rank", "term", "score")
 
 
 def sentence_scores(df: DataFrame, key: str, sentences: str, keywords: DataFrame) -> DataFrame:

@@ -252,8 +252,12 @@ def _tfidf(spark, d):
 
 
 def _keywords(spark, d):
-    """The keywords of each document, by all steps of the score."""
-    return _tfidf(spark, d)
+    """The keywords of each document, by all steps of the score: the learned terms it holds and, in legislation, its opening
+    phrases are added. ``tfidf_topk`` stops before these, as its SQL."""
+    x = typed(with_tokens(with_sentences(_docs(spark, d))))
+    taught = learned.boosts(x, "id", "text", learned.model(_examples(spark, d)))
+    opening = keywords.opening_boosts(x.filter(C.legislative(F.col("doc_type"))), "id", "text")
+    return keywords.tfidf(x, "id", "sentences", "tokens", boosts=(taught, opening))
 
 
 _STOP = ", ".join(A.q(w) for w in L.STOP_WORDS)
@@ -282,7 +286,12 @@ def tfidf_topk(spark, d):
 @query()
 def extractive_summary(spark, d):
     x = with_sentences(_docs(spark, d))
-    return keywords.extract(keywords.sentence_scores(x, "id", "sentences", _tfidf(spark, d)), "id", 3)
+    return keywords.extract(keywords.sentence_scores(x, "id", "sentences", _keywords(spark, d)), "id", 3)
+
+
+@query()
+def boosted_keywords(spark, d):
+    return _keywords(spark, d).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query()

@@ -13,8 +13,10 @@ NOTE = "A plain note about the weather in the north, which tells nothing else of
 @pytest.fixture(scope="module")
 def small(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("small")
-    rows = [(1, "lease.pdf", LEASE), (2, "environment_bill.pdf", BILL), (3, "note.pdf", NOTE)]
+    rows = [(1, "lease.pdf", LEASE), (2, "environment_bill.pdf", BILL), (3, "note.pdf", NOTE + " A wandering heron is seen.")]
     spark.createDataFrame(rows, "id long, original_name string, extracted_text string").write.parquet(str(d / "legal_documents.parquet"))
+    examples = [(i, 1, i, "The wandering heron wintered.", "The wandering heron.") for i in range(1, 4)]
+    spark.createDataFrame(examples, "dataset_id long, document_id long, summary_id long, input_text string, target_summary string").write.parquet(str(d / "legal_summary_dataset.parquet"))
     return str(d)
 
 
@@ -37,3 +39,12 @@ def test_passages_are_found_by_their_own_document_s_terms(spark, tmp_path):
     got = run(spark, str(tmp_path), "passage_scores")
     first = [r for r in got if r.passage_id == "P1-1"]
     assert first and first[0].score >= 1.4 and {r.id for r in got} == {1}
+
+
+def test_keywords_take_learned_and_opening_boosts(spark, small):
+    got = {(r.id, r.term): r.score for r in run(spark, small, "boosted_keywords")}
+    plain = {(r.id, r.term): r.score for r in run(spark, small, "tfidf_topk")}
+    assert got[2, "environment amendment bill"] >= 39 and not any(s >= 39 for (i, _), s in plain.items() if i == 2)
+    assert max(s for (i, _), s in got.items() if i == 1) < 18
+    # each of the examples teaches the run once, at 1.4
+    assert got[3, "wandering heron"] == pytest.approx(1.4)
