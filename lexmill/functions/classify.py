@@ -110,14 +110,22 @@ def passage_kind(x: Column) -> Column:
     return out.otherwise("other")
 
 
-def issues(text: Column, cats: Column) -> Column:
-    """At most six issues of a case: by the text, then those that an area of law implies."""
-    implied = F.array_compact(F.array(F.when(F.array_contains(cats, "Labour Law"), "Labour dispute"), F.when(F.array_contains(cats, "Contract Law"), "Breach of contract"), F.when(F.array_contains(cats, "Constitutional Law"), "Constitutional rights")))
+def issues(text: Column, cats: Column, keywords: Column | None = None) -> Column:
+    """At most six issues of a case: by the text, then those that an area of law or a keyword implies."""
+    righted = F.lit(False) if keywords is None else F.exists(keywords, lambda k: F.lower(k).contains("right"))
+    implied = F.array_compact(F.array(F.when(F.array_contains(cats, "Labour Law"), "Labour dispute"), F.when(F.array_contains(cats, "Contract Law"), "Breach of contract"), F.when(F.array_contains(cats, "Constitutional Law") | righted, "Constitutional rights")))
     return capped(F.array_distinct(F.concat(matching(text, L.ISSUES), implied)), 6)
 
 
-def legislative_issues(text: Column) -> Column:
-    return capped(matching(text, L.LEGISLATIVE_ISSUES), 6)
+def legislative_issues(text: Column, keywords: Column | None = None) -> Column:
+    """At most six issues of legislation, by the text and the keywords; up to four are filled with keywords as titles."""
+    if keywords is None:
+        return capped(matching(text, L.LEGISLATIVE_ISSUES), 6)
+    title = lambda k: F.array_join(F.transform(F.split(k, "-"), lambda x: F.initcap(x)), "-")
+    fit = F.filter(F.transform(keywords, lambda k: F.trim(k)), lambda k: (F.length(k) >= 6) & ~has(k, r"\b(breach|contract|dispute|applicant|respondent)\b", "iu"))
+    fill = lambda m: F.concat(m, F.slice(F.transform(fit, title), 1, F.greatest(F.lit(0), 4 - F.size(m))))
+    found = let(F.concat_ws(" ", text, F.array_join(keywords, " ")), lambda x: matching(F.lower(x), L.LEGISLATIVE_ISSUES))
+    return capped(F.array_distinct(let(found, fill)), 6)
 
 
 def rights(references: Column, found_issues: Column) -> Column:

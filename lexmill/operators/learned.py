@@ -46,3 +46,24 @@ def boosts(texts: DataFrame, key: str, text: str, learned: DataFrame) -> DataFra
     x = texts.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("low"), F.lit(1).alias("k")).join(F.broadcast(m), "k")
     hit = F.filter("m", lambda e: F.col("low").contains(e["term"]))
     return x.select(key, F.explode(hit).alias("e")).select(key, "e.term", F.round("e.boost", 4).alias("boost"))
+
+
+def category_model(examples: DataFrame, n: int = PER_CATEGORY) -> DataFrame:
+    """(category, term, weight): of each area of law in ``labels``, the ``n`` heaviest terms of its examples' texts with its name;
+    truncated once at the end, ties by term."""
+    x = examples.select("id", "text", F.explode("labels").alias("target")).select(F.concat_ws("|", "id", "target").alias("id"), "text", "target")
+    t = terms(x).withColumn("category", F.substring_index("id", "|", -1)).groupBy("category", "term").agg(F.round(F.sum("weight"), 4).alias("weight"))
+    w = Window.partitionBy("category").orderBy(F.desc("weight"), "term")
+    return t.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n).drop("r")
+
+
+def categories(texts: DataFrame, key: str, text: str, model_: DataFrame, n: int = CATEGORIES) -> DataFrame:
+    """(key, category, score, rank): at most ``n`` areas of law whose terms in the text weigh 2 or more together; ties by name. The
+    model has at most 80 rows a category, so it travels as one array."""
+    per = model_.groupBy("category").agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
+    m = per.agg(F.array_sort(F.collect_list(F.struct("category", "terms"))).alias("m")).withColumn("k", F.lit(1))
+    x = texts.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("low"), F.lit(1).alias("k")).join(F.broadcast(m), "k")
+    total = lambda e: F.aggregate(F.filter(e["terms"], lambda t: F.col("low").contains(t["term"])), F.lit(0.0), lambda a, t: a + t["weight"])
+    scored = x.select(key, F.explode(F.transform("m", lambda e: F.struct(e["category"].alias("category"), F.round(total(e), 4).alias("score")))).alias("e")).select(key, "e.category", "e.score").filter("score >= 2.0")
+    w = Window.partitionBy(key).orderBy(F.desc("score"), "category")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)

@@ -29,10 +29,16 @@ def typed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_type", let(C.type_scores(F.col("text"), F.col("filename")), lambda z: C.document_type(z["scores"], z["titles"])))
 
 
-def analyse(legal: DataFrame) -> DataFrame:
-    """One row of results per document; columns that aren't selected are pruned with what they need."""
+def analyse(legal: DataFrame, keywords: DataFrame | None = None, taught: DataFrame | None = None) -> DataFrame:
+    """One row of results per document; columns that aren't selected are pruned with what they need. ``keywords`` (id, rank,
+    term) speak for issues, and ``taught`` (id, category, rank) are areas of law after those of the patterns."""
     x = typed(with_tokens(with_sentences(documents(legal))))
     x = x.withColumn("categories", C.categories(F.col("text")))
+    none = F.array().cast("array<string>")
+    listed = lambda df, col: df.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", col))), lambda r: r[col]).alias("listed"))
+    if taught is not None:
+        x = x.join(listed(taught, "category"), "id", "left").withColumn("categories", F.array_union("categories", F.coalesce("listed", none))).drop("listed")
+    x = x.withColumn("keywords", none) if keywords is None else x.join(listed(keywords, "term"), "id", "left").withColumn("keywords", F.coalesce("listed", none))
     leg = C.legislative(F.col("doc_type"))
     return x.select(
         "id",
@@ -55,6 +61,6 @@ def analyse(legal: DataFrame) -> DataFrame:
         C.language(F.col("tokens")).alias("language"),
         C.readability(F.col("tokens"), F.size("sentences")).alias("readability"),
         "categories",
-        F.when(leg, C.legislative_issues(F.col("text"))).otherwise(C.issues(F.col("text"), F.col("categories"))).alias("issues"),
+        F.when(leg, C.legislative_issues(F.col("text"), F.col("keywords"))).otherwise(C.issues(F.col("text"), F.col("categories"), F.col("keywords"))).alias("issues"),
         F.size("tokens").alias("word_count"),
     )

@@ -237,9 +237,27 @@ def court_orders(spark, d):
     return _docs(spark, d).select("id", F.explode(X.court_orders(F.col("text"))).alias("court_order"))
 
 
+def _taught(spark, d):
+    """The learned areas of law of each document. The examples' own labels aren't in the tables; as those are what the patterns
+    found in the text, the patterns give them again."""
+    x = _examples(spark, d).withColumn("labels", C.categories(T.clean(F.col("text"))))
+    return learned.categories(_docs(spark, d), "id", "text", learned.category_model(x))
+
+
+@query()
+def learned_categories(spark, d):
+    return _taught(spark, d).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query()
+def typed_issues(spark, d):
+    x = analyse(spread(_legal(spark, d)), _keywords(spark, d), _taught(spark, d))
+    return x.select("id", F.posexplode("issues").alias("i", "issue")).select("id", (F.col("i") + 1).cast("long").alias("issue_no"), "issue")
+
+
 @query()
 def document_analysis(spark, d):
-    x = analyse(spread(_legal(spark, d)))
+    x = analyse(spread(_legal(spark, d)), _keywords(spark, d), _taught(spark, d))
     return x.select(*(F.array_join(c, "|").alias(c) if t.startswith("array") else F.col(c) for c, t in x.dtypes))
 
 
@@ -302,7 +320,7 @@ def opening_keywords(spark, d):
 def _query_terms(spark, d):
     """(id, terms): what a document's passages are looked up by: the words of its type, its keywords, areas of law and parties
     in lower case, and its case number, court and judge as they stand. Repeated terms count again."""
-    x = analyse(spread(_legal(spark, d))).select("id", "doc_type", "categories", "parties", "case_number", "court", "judge")
+    x = analyse(spread(_legal(spark, d)), taught=_taught(spark, d)).select("id", "doc_type", "categories", "parties", "case_number", "court", "judge")
     kw = _keywords(spark, d).groupBy("id").agg(F.array_sort(F.collect_list("term")).alias("kw"))
     lower = lambda c: F.transform(c, lambda t: F.lower(t))
     parts = F.concat(F.split(F.lower("doc_type"), " "), lower(F.coalesce("kw", F.array().cast("array<string>"))), lower("categories"), lower("parties"), F.array("case_number", "court", "judge"))

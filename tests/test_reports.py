@@ -48,3 +48,27 @@ def test_keywords_take_learned_and_opening_boosts(spark, small):
     assert max(s for (i, _), s in got.items() if i == 1) < 18
     # each of the examples teaches the run once, at 1.4
     assert got[3, "wandering heron"] == pytest.approx(1.4)
+
+
+def test_issues_take_keywords_and_type(spark):
+    from pyspark.sql import functions as F
+
+    from lexmill.functions import classify as C
+
+    x = spark.createDataFrame([("zzz", ["mineral rights"], ["zero"]), ("zzz", ["a", "water-rail nest", "contract law", "repealed thing", "heron pond", "reed warbler", "great bittern"], ["zero"])], "t string, k array<string>, c array<string>")
+    got = x.select(C.issues(F.col("t"), F.col("c"), F.col("k")).alias("a"), C.legislative_issues(F.col("t"), F.col("k")).alias("b")).collect()
+    assert got[0].a == ["Constitutional rights"] and got[1].a == []
+    assert got[1].b == ["Amendment or repeal effect", "Water-Rail Nest", "Repealed Thing", "Heron Pond"]
+
+
+def test_learned_categories(spark):
+    from lexmill.operators import learned
+
+    ex = spark.createDataFrame([("1", "heron, heron, heron", ["Mining Law"]), ("2", "bittern", ["Family Law"])], "id string, text string, labels array<string>")
+    docs = spark.createDataFrame([(1, "A Heron."), (2, "A bittern.")], "id long, text string")
+    assert [(r.id, r.category, r.score) for r in learned.categories(docs, "id", "text", learned.category_model(ex)).collect()] == [(1, "Mining Law", 2.0)]  # the third runs on into the name
+
+
+def test_analysis_has_keyword_issues(spark, small):
+    got = {r.id: r.issues.split("|") for r in run(spark, small, "document_analysis")}
+    assert len(got[2]) >= 4 and {r.id for r in run(spark, small, "typed_issues")} == {i for i, x in got.items() if x != [""]}
