@@ -67,17 +67,19 @@ def affinity(query: str, haystack: Column) -> Column:
     return total / F.lit(float(len(words)))
 
 
-def rank(df: DataFrame, query: str, key: str, text: str, haystack: list[str]) -> DataFrame:
+def rank(df: DataFrame, query: str, key: str, text: str, haystack: list[str], more: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``search_score``, best first; rows under 0.08 without a word in common are left out. An empty query gives
-    ``df`` as it is."""
+    ``df`` as it is. The lists in the columns ``more`` go into the profile, whose first 20 terms then join the haystack."""
     if not query.strip():
         return df
     q = query_vector(query)
     qmap = F.create_map(*(F.lit(x) for kv in q.items() for x in kv)) if q else F.expr("cast(map() as map<int,double>)")
-    hay = F.lower(F.concat_ws(" ", *haystack))
-    x = df.withColumn("_cos", let(vector(terms(F.coalesce(text, F.lit("")))), lambda v: cosine(qmap, v))).withColumn("affinity", affinity(query, hay))
+    none = F.array().cast("array<string>")
+    x = df.withColumn("_terms", terms(F.coalesce(text, F.lit("")), *(F.coalesce(c, none) for c in more)))
+    hay = F.lower(F.concat_ws(" ", *haystack, *([F.slice(F.array_distinct("_terms"), 1, 20)] if more else [])))
+    x = x.withColumn("_cos", let(vector(F.col("_terms")), lambda v: cosine(qmap, v))).withColumn("affinity", affinity(query, hay))
     x = x.withColumn("search_score", F.round(F.col("_cos") * 0.7 + F.col("affinity") * 0.3, 4))
-    return x.filter("search_score >= 0.08 or affinity > 0").drop("_cos").orderBy(F.desc("search_score"), key)
+    return x.filter("search_score >= 0.08 or affinity > 0").drop("_cos", "_terms").orderBy(F.desc("search_score"), key)
 
 
 def snippet(text: Column, query: str, width: int = 260, lead: int = 110) -> Column:

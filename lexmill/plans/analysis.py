@@ -63,4 +63,5 @@ def analyse(legal: DataFrame, keywords: DataFrame | None = None, taught: DataFra
         "categories",
         F.when(leg, C.legislative_issues(F.col("text"), F.col("keywords"))).otherwise(C.issues(F.col("text"), F.col("categories"), F.col("keywords"))).alias("issues"),
         F.size("tokens").alias("word_count"),
+        "keywords",
     )

@@ -257,7 +257,7 @@ def typed_issues(spark, d):
 
 @query()
 def document_analysis(spark, d):
-    x = analyse(spread(_legal(spark, d)), _keywords(spark, d), _taught(spark, d))
+    x = analyse(spread(_legal(spark, d)), _keywords(spark, d), _taught(spark, d)).drop("keywords")
     return x.select(*(F.array_join(c, "|").alias(c) if t.startswith("array") else F.col(c) for c, t in x.dtypes))
 
 
@@ -405,9 +405,23 @@ def search_affinity(spark, d):
     return _records(spark, d).select("id", F.round(search.affinity(QUERY, hay), 6).alias("affinity"))
 
 
+def _profiled(spark, d):
+    """The records with what their document's profile and search fields are made of; a record without a document has its own
+    fields alone."""
+    x = analyse(spread(_legal(spark, d)), _keywords(spark, d), _taught(spark, d))
+    named = F.filter("keywords", lambda k: k.rlike("(?i)section|chapter|act"))
+    panel = F.slice(F.array_distinct(F.concat("legal_references", X.references(F.coalesce("principles", F.lit(""))), named)), 1, 8)
+    x = x.select("id", "keywords", "categories", "issues", panel.alias("references"), F.array_distinct(F.concat("parties", "persons", "organisations")).alias("entities"))
+    docs = _docs(spark, d).select("id", "filename", "text", X.instruments(F.col("text")).alias("instruments"))
+    records = table(spark, d, "summaries").select("id", "document_id", "document_type", "professional_summary", "citizen_summary")
+    return records.join(x.join(docs, "id").withColumnRenamed("id", "document_id"), "document_id", "left")
+
+
 @query()
 def semantic_search(spark, d):
-    return search.rank(_records(spark, d), QUERY, "id", "citizen_summary", ["document_type", "professional_summary", "citizen_summary"]).select("id", "affinity", "search_score")
+    """Over whole profiles and all seven search fields; ``search_affinity`` reads three of the fields, as its SQL."""
+    hay = ["filename", "document_type", "professional_summary", "citizen_summary", "entities", "issues"]
+    return search.rank(_profiled(spark, d), QUERY, "id", "text", hay, ("keywords", "categories", "issues", "instruments", "references")).select("id", "affinity", "search_score")
 
 
 @query("SELECT id, substr(citizen_summary, CAST(greatest(1, strpos(lower(citizen_summary), 'court') - 110) AS BIGINT), 260) AS snippet FROM summaries WHERE strpos(lower(citizen_summary), 'court') > 0")

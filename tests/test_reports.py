@@ -15,6 +15,8 @@ def small(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("small")
     rows = [(1, "lease.pdf", LEASE), (2, "environment_bill.pdf", BILL), (3, "note.pdf", NOTE + " A wandering heron is seen.")]
     spark.createDataFrame(rows, "id long, original_name string, extracted_text string").write.parquet(str(d / "legal_documents.parquet"))
+    records = [(1, 1, "Other", "Nothing.", "Nothing."), (2, 3, "Other", "Nothing.", "Nothing."), (3, 99, None, None, "An agreement.")]
+    spark.createDataFrame(records, "id long, document_id long, document_type string, professional_summary string, citizen_summary string").write.parquet(str(d / "summaries.parquet"))
     examples = [(i, 1, i, "The wandering heron wintered.", "The wandering heron.") for i in range(1, 4)]
     spark.createDataFrame(examples, "dataset_id long, document_id long, summary_id long, input_text string, target_summary string").write.parquet(str(d / "legal_summary_dataset.parquet"))
     return str(d)
@@ -72,3 +74,9 @@ def test_learned_categories(spark):
 def test_analysis_has_keyword_issues(spark, small):
     got = {r.id: r.issues.split("|") for r in run(spark, small, "document_analysis")}
     assert len(got[2]) >= 4 and {r.id for r in run(spark, small, "typed_issues")} == {i for i, x in got.items() if x != [""]}
+
+
+def test_search_reads_the_whole_record(spark, small):
+    got = {r.id: (r.affinity, r.search_score) for r in run(spark, small, "semantic_search")}
+    # the words stand in no field of the first record's own, but in its document's issues and profile
+    assert got[1][0] > 0 and got[1][1] > got.get(2, (0, 0))[1] and 3 in got
