@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from lexmill.functions.rx import let
+from lexmill.functions.rx import all_of, let
 from lexmill.functions.text import rouge_tokens
 
 REFERENCE_MAX, CANDIDATE_MAX = 1500, 350  # fixed values: what the subsequence measure reads
@@ -53,3 +53,10 @@ def pairs(summaries: DataFrame, documents: DataFrame) -> DataFrame:
     generated = F.trim(F.coalesce(F.nullif("professional_summary", F.lit("")), F.nullif("executive_summary", F.lit("")), "citizen_summary", F.lit("")))
     d = documents.select(F.col("id").alias("document_id"), F.col("extracted_text").alias("source"))
     return summaries.select("id", "document_id", "created_at", generated.alias("generated")).join(d, "document_id").filter("length(source) >= 40 and length(generated) >= 20")
+
+
+def similarity(left: Column, right: Column) -> Column:
+    """Jaccard similarity of the distinct words of three characters or more; 0 where either side has none."""
+    words = lambda c: F.array_distinct(all_of(F.lower(F.coalesce(c, F.lit(""))), r"\p{L}[\p{L}\p{Mn}'-]{2,}", "u"))
+    share = lambda z: F.when((F.size(z["a"]) > 0) & (F.size(z["b"]) > 0), F.size(F.array_intersect(z["a"], z["b"])) / F.size(F.array_union(z["a"], z["b"]))).otherwise(0.0)
+    return let(F.struct(words(left).alias("a"), words(right).alias("b")), share)

@@ -463,6 +463,12 @@ def rouge_2(spark, d):
     return rouge.precision(_rouge_pairs(spark, d), "id", "source", "generated", 2).withColumn("rouge_2", F.round("rouge_2", 4))
 
 
+@query()
+def token_similarity(spark, d):
+    s = table(spark, d, "summaries")
+    return s.select("id", F.round(rouge.similarity(F.col("professional_summary"), F.col("citizen_summary")), 6).alias("similarity"))
+
+
 @query()
 def rouge_l(spark, d):
     return rouge.subsequence(_rouge_pairs(spark, d), "id", "source", "generated")

@@ -80,3 +80,12 @@ def test_search_reads_the_whole_record(spark, small):
     got = {r.id: (r.affinity, r.search_score) for r in run(spark, small, "semantic_search")}
     # the words stand in no field of the first record's own, but in its document's issues and profile
     assert got[1][0] > 0 and got[1][1] > got.get(2, (0, 0))[1] and 3 in got
+
+
+def test_token_similarity(spark):
+    from pyspark.sql import functions as F
+
+    from lexmill.operators import rouge
+
+    x = spark.createDataFrame([("The heron, the reed", "A heron in the mud"), ("", "heron"), (None, None)], "a string, b string")
+    assert [r.s for r in x.select(rouge.similarity(F.col("a"), F.col("b")).alias("s")).collect()] == [0.5, 0.0, 0.0]
