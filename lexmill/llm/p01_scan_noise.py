@@ -1,20 +1,23 @@
 """Repair of text from scanned pages.
 
-Three passes in Arrow batches, each over whole texts.
+Three passes in Arrow batches, each over whole texts. A text is parted at blanks, and only distinct pieces are looked at
+closer: what words a piece holds, and whether one of them is suspect, is remembered.
 
 1. Counts over the whole corpus: words, hyphenated compounds, and the shapes of short lines that stand at the edge of a
    paragraph (letters to their case, digits to ``#``), apart for scanned files and others. A shape that scanned files
    have and the others don't, and whose lines recur within files, is page furniture.
-2. Skip-gram vectors of the frequent words. Skip-gram with negative sampling factorises the shifted matrix of pointwise
-   mutual information of words and the words around them; the pairs are counted over all texts and the matrix is
-   factorised directly. Its size is bounded: a word must make up ``WORD_SHARE`` of all words, a context word
-   ``CONTEXT_SHARE``, so there are at most 1/share of either, whatever the corpus holds.
+2. Skip-gram vectors of the frequent words. Skip-gram with one negative sample factorises the matrix of pointwise mutual
+   information of words and the words around them (its shift is the logarithm of the number of samples, here nought); the
+   pairs are counted over all texts and the positive part of the matrix is factorised directly. Its size is bounded: a word
+   must make up ``WORD_SHARE`` of all words, a context word ``CONTEXT_SHARE``, so there are at most 1/share of either,
+   whatever the corpus holds. The matrix stays on the executors; the driver gets its Gram matrix (at most 1/CONTEXT_SHARE
+   squared numbers, 32 MB) and the finished vectors.
 3. Each scanned document: headers and footers (furniture shapes, or lines that recur in the document and whose shape
    other files don't have), page numbers, breaks within words, and misread words. A word that is not frequent, or far
    rarer than a frequent word of the same glyph skeleton, is linked to that neighbour; the neighbour is taken if the
    words around the place expect it (for a rare word: by their context vectors; for a commoner misreading such as that
-   of an article: if both words' vectors point the same way). A word with a digit or sign within its letters is misread
-   also where no neighbour is known.
+   of an article: if both words' vectors point the same way). Of several neighbours the one the place expects most is
+   taken. A word with a digit or sign within its letters is misread also where no neighbour is known.
 
 Then furniture is dropped, broken words are joined, misread ones replaced, and lines reflowed; a paragraph that a page
 break cut in mid sentence goes on. Null and blank texts have no noise; a repeated row gives repeated results; a text of
@@ -27,15 +30,19 @@ import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.session import cut
+
 from .cues import FOLD_FROM, FOLD_TO, FOLDS
 
-WORD_SHARE, CONTEXT_SHARE, SHAPE_SHARE = 2e-5, 2e-4, 2e-3
+WORD_SHARE, CONTEXT_SHARE, SHAPE_SHARE = 2e-5, 5e-4, 2e-3
+BLOCK = 50  # rows of the Gram matrix that travel together
 RATIO, ALIKE, DIM, WINDOW = 12, 0.6, 48, 2
 # the least context score of a correction, by the word's length: few words lie one glyph from a long one
 EXPECTED = {2: 0.5, 3: 0.1, 4: 0.03}
@@ -62,7 +69,8 @@ def skeleton(word: str) -> str:
 
 
 def is_page_number(line: str) -> bool:
-    return len(line) < 60 and bool(_PAGE.fullmatch(line)) and bool(line.strip())
+    s = line.strip()
+    return len(s) < 60 and bool(_PAGE.fullmatch(s))
 
 
 _LETTERS = re.compile(r"[^\W\d_](?:[\w'’]|(?<=\w)[!|](?=\w))*")
@@ -87,47 +95,78 @@ def shape(line: str) -> str | None:
     return out if low <= 2 else None
 
 
-def edge_lines(lines: list[str], everywhere: bool = False, free: list[bool] | None = None) -> dict[int, str]:
+_ENDS = frozenset(".,;:?!-¬\xad。！？।።")
+_LOW = re.compile(r"(?<!\S)[a-z]")
+
+
+def short_shape(line: str) -> str | None:
+    """The shape of a short line that is no part of running text, else null."""
+    s = line.strip()
+    if not 2 < len(s) <= 90 or s[-1] in _ENDS or s[0].islower() or len(_LOW.findall(s)) > 3:
+        return None
+    if not s.isascii() and sum(w[0].islower() for w in s.split()) > 3:
+        return None
+    return shape(line)
+
+
+def edge_lines(lines: list[str], free: list[bool]) -> dict[int, str]:
     """Shapes of the short lines at an edge: next to a blank line, a page number, or the text's start or end."""
-    if free is None:
-        free = [not x or x.isspace() or is_page_number(x) for x in lines]
     out, last = {}, len(lines) - 1
     for i, line in enumerate(lines):
-        if free[i] or not (everywhere or i == 0 or i == last or free[i - 1] or free[i + 1]):
-            continue
-        s = line.strip()
-        if not 2 < len(s) <= 90 or s[0].islower() or s[-1] in ".,;:?!-¬\xad。！？।።" or sum(w[0].islower() for w in s.split()) > 3:
-            continue
-        f = shape(line)
-        if f:
+        if not free[i] and (i == 0 or i == last or free[i - 1] or free[i + 1]) and (f := short_shape(line)):
             out[i] = f
     return out
 
 
+_KEYS: dict[str, str] = {}
+
+
 def head_key(line: str) -> str:
-    """What copies of one header have in common: the letters' skeleton, without a page number at the end."""
-    return skeleton(re.sub(r"[\W\d_]+", "", re.sub(r"(\s{2,}|\t)\S{1,8}$", "", line.strip())))
+    """What copies of one header have in common: the letters' skeleton, without a page number at the end; remembered."""
+    if line not in _KEYS:
+        if len(_KEYS) > 100_000:
+            _KEYS.clear()
+        _KEYS[line] = skeleton(re.sub(r"[\W\d_]+", "", re.sub(r"(\s{2,}|\t)\S{1,8}$", "", line.strip())))
+    return _KEYS[line]
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        words, compounds, scan, plain, again, n = Counter(), Counter(), Counter(), Counter(), Counter(), [0, 0]
+        pieces, words, compounds, scan, plain, again, n = Counter(), Counter(), Counter(), Counter(), Counter(), Counter(), [0, 0]
         for text, scanned in zip(b["text"], b["scanned"], strict=True):
-            low = text.lower()
-            words.update(_PLAIN.findall(low))
-            compounds.update(x for w in low.split() if "-" in w and "@" not in w for x in _COMPOUND.findall(w))
+            pieces.update(text.lower().split())
             n[bool(scanned)] += 1
             lines = text.split("\n")
-            edges = edge_lines(lines)
+            edges = edge_lines(lines, [not x or x.isspace() or is_page_number(x) for x in lines])
             (scan if scanned else plain).update(set(edges.values()))
             if scanned:
                 often = Counter(head_key(lines[i]) for i in edges)
                 again.update({f for i, f in edges.items() if often[head_key(lines[i])] > 1})
+        for w, k in pieces.items():  # blanks part words too, so a piece's words are words of the text
+            for x in _PLAIN.findall(w):
+                words[x] += k
+            if "-" in w and "@" not in w:
+                for x in _COMPOUND.findall(w):
+                    compounds[x] += k
         rows = [("again", k, v, 0) for k, v in again.items()] + [("word", k, v, 0) for k, v in words.items()] + [("compound", k, v, 0) for k, v in compounds.items()]
         rows += [("shape", k, v, plain.get(k, 0)) for k, v in scan.items()] + [("shape", k, 0, v) for k, v in plain.items() if k not in scan] + [("documents", "", n[1], n[0]), ("words", "", words.total(), 0)]
         yield pd.DataFrame(rows, columns=["kind", "key", "a", "b"])
 
 
+class Remembered(dict):
+    """What ``f`` gave for each of up to half a million keys."""
+
+    def __init__(self, f):
+        super().__init__()
+        self.f = f
+
+    def __missing__(self, key):
+        if len(self) > 500_000:
+            self.clear()
+        self[key] = v = self.f(key)
+        return v
+
+
 class Model:
     """What pass 3 needs: frequent words, their vectors, skeletons, compounds and furniture shapes."""
 
@@ -139,18 +178,27 @@ class Model:
             self.by_skeleton.setdefault(skeleton(w), []).append(w)
         # words that need no second look: frequent, of letters, and alone with their skeleton
         self.good = frozenset(w for x in self.by_skeleton.values() if len(x) == 1 for w in x if w.isalpha())
-        self.verdicts: dict[str, tuple[str | None, bool]] = {}
         self.vectors = self.contexts = None
+        self.remember()
+
+    def remember(self) -> None:
+        self.verdicts, self.suspects = Remembered(self.verdict), Remembered(self.suspect)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("verdicts", "suspects")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.remember()
+
+    def suspect(self, piece: str) -> tuple[str, ...]:
+        """The words of a piece between blanks that are not plainly right."""
+        return tuple(w for w in _TOKEN.findall(piece) if w not in self.good and self.verdicts[w] != (None, False))
 
     def verdict(self, word: str) -> tuple[str | None, bool]:
-        """(the neighbour, whether the word is misread by its looks), remembered."""
-        v = self.verdicts.get(word)
-        if v is None:
-            if len(self.verdicts) > 500_000:
-                self.verdicts.clear()
-            f = None if len(word) < 2 or word.isdigit() else self.neighbour(word)
-            v = self.verdicts[word] = (f, f is None and len(word) > 2 and bool(_GLITCH.fullmatch(word)))
-        return v
+        """(the neighbour, whether the word is misread by its looks)."""
+        f = None if len(word) < 2 or word.isdigit() else self.neighbour(word)
+        return f, f is None and len(word) > 2 and bool(_GLITCH.fullmatch(word))
 
     def neighbour(self, word: str) -> str | None:
         """The most frequent word with the same skeleton, if it is another one and far more frequent."""
@@ -159,6 +207,12 @@ class Model:
             return f if f != word and f.isalpha() and self.words[f] >= RATIO * max(own, 1) else None
         return None
 
+    def best(self, word: str, around: list[str]) -> str | None:
+        """Of the far more frequent words with the same skeleton the one that the words around expect most."""
+        own = RATIO * max(self.words.get(word, 0), 1)
+        these = [f for f in self.by_skeleton.get(skeleton(word), ()) if f != word and f.isalpha() and self.words[f] >= own]
+        return these[0] if len(these) == 1 else max(these, key=lambda f: (self.expected(f, around), self.words[f]), default=None)
+
     def expected(self, word: str, around: list[str]) -> float:
         """How much the words around expect ``word``: mean of its vector against their context vectors."""
         at = [self.ids[w] for w in around if self.ids.get(w, len(self.contexts)) < len(self.contexts)]
@@ -177,8 +231,6 @@ def learn(texts: DataFrame) -> Model:
     spark = texts.sparkSession
     body = texts.filter("text is not null").select("text", "scanned")
     sums = body.mapInPandas(_counts, "kind string, key string, a long, b long").groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    from lexmill.session import cut
-
     sums = cut(sums)
     total = {r.kind: (r.a, r.b) for r in sums.filter("kind in ('documents', 'words')").collect()}
     n_words, (n_scan, n_plain) = max(1, total.get("words", (0, 0))[0]), total.get("documents", (0, 0))
@@ -193,40 +245,63 @@ def learn(texts: DataFrame) -> Model:
     model = Model(words, compounds, furniture, ordinary)
     n_context = sum(1 for w in words.values() if w >= CONTEXT_SHARE * n_words)
     ids, k = model.ids, max(1, len(model.ids))
+    if not n_context:
+        model.vectors, model.contexts = np.zeros((k, 1), np.float32), np.zeros((0, 1), np.float32)
+        return model
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = ids.get
+        of = Remembered(lambda piece: tuple(ids.get(w, -1) for w in _PLAIN.findall(piece)))
         for b in batches:
             # texts one after another, parted by more unknown words than the window is wide
             flat: list[int] = []
             for text in b["text"]:
-                flat += [get(w, -1) for w in _PLAIN.findall(text.lower())]
+                flat.extend(chain.from_iterable(map(of.__getitem__, text.lower().split())))
                 flat += [-1] * WINDOW
             seq = np.asarray(flat, dtype=np.int64)
             codes = []
             for d in range(1, WINDOW + 1):
                 x, y = seq[:-d], seq[d:]
-                for w, c in ((x, y), (y, x)):
-                    ok = (w >= 0) & (c >= 0) & (c < n_context)
-                    codes.append(w[ok] * n_context + c[ok])
-            code, n = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.empty(0, np.int64), np.empty(0, np.int64))
-            yield pd.DataFrame({"code": code, "n": n})
-
-    if n_context and k:
-        got = body.select("text").mapInPandas(pairs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-        m = np.zeros((k, n_context), dtype=np.float32)
-        m[got["code"].to_numpy() // n_context, got["code"].to_numpy() % n_context] = got["n"].to_numpy()
-        rows, cols, all_ = m.sum(1, keepdims=True), m.sum(0, keepdims=True), max(1.0, float(m.sum()))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            pmi = np.log(m * all_ / (rows * cols))
-        m = np.where(m > 0, np.maximum(pmi, 0), 0).astype(np.float32)
-        # the factors of the positive PMI matrix, by its context side's eigenvectors
-        gram = m.T @ m
-        value, vector = np.linalg.eigh(gram)
-        top = vector[:, ::-1][:, : min(DIM, n_context)]
-        model.vectors, model.contexts = (m @ top).astype(np.float32), top.astype(np.float32)
-    else:
-        model.vectors, model.contexts = np.zeros((k, 1), np.float32), np.zeros((n_context, 1), np.float32)
+                ok = (x >= 0) & (y >= 0) & ((x < n_context) | (y < n_context))
+                codes.append(x[ok] * k + y[ok])
+            code, n = np.unique(np.concatenate(codes), return_counts=True)
+            # either word stands around the other
+            x, y = code // k, code % k
+            a, b_ = y < n_context, x < n_context
+            yield pd.DataFrame({"w": np.concatenate([x[a], y[b_]]), "c": np.concatenate([y[a], x[b_]]), "n": np.concatenate([n[a], n[b_]])})
+
+    # at most 1/WORD_SHARE x 1/CONTEXT_SHARE rows
+    counts = cut(body.select("text").mapInPandas(pairs, "w long, c long, n long").groupBy("w", "c").agg(F.sum("n").alias("n")))
+    rows, cols = counts.groupBy("w").agg(F.sum("n").alias("r")), counts.groupBy("c").agg(F.sum("n").alias("q"))
+    all_ = max(1.0, float(counts.agg(F.sum("n")).first()[0] or 0))
+    pmi = counts.join(F.broadcast(rows), "w").join(F.broadcast(cols), "c").select("w", "c", F.log(F.col("n") * all_ / F.col("r") / F.col("q")).alias("v")).filter("v > 0")
+    # one row for each frequent word, of at most 1/CONTEXT_SHARE numbers
+    matrix = cut(pmi.groupBy("w").agg(F.collect_list("c").alias("c"), F.collect_list("v").alias("v")))
+
+    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = np.zeros((n_context, n_context))
+        for b in batches:
+            for c, v in zip(b["c"], b["v"], strict=True):
+                g[np.ix_(c, c)] += np.outer(v, v)
+        at = list(range(0, n_context, BLOCK))
+        yield pd.DataFrame({"block": [i // BLOCK for i in at], "part": [g[i : i + BLOCK].tobytes() for i in at]})
+
+    def added(g: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x) for x in g["part"])
+        return pd.DataFrame({"block": g["block"].iloc[:1], "part": [total.tobytes()]})
+
+    parts = matrix.mapInPandas(gram, "block int, part binary").groupBy("block").applyInPandas(added, "block int, part binary").collect()
+    g = np.concatenate([np.frombuffer(r.part).reshape(-1, n_context) for r in sorted(parts)]) if parts else np.zeros((n_context, n_context))
+    # the factors of the matrix, by its context side's eigenvectors
+    _, vector = np.linalg.eigh(g)
+    top = np.ascontiguousarray(vector[:, ::-1][:, : min(DIM, n_context)]).astype(np.float32)
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"w": b["w"], "x": [np.asarray(v, np.float32) @ top[c] for c, v in zip(b["c"], b["v"], strict=True)]})
+
+    model.vectors, model.contexts = np.zeros((k, top.shape[1]), np.float32), top
+    for r in matrix.mapInPandas(project, "w long, x array<float>").toLocalIterator():
+        model.vectors[r.w] = r.x
     return model
 
 
@@ -244,8 +319,7 @@ def _joins(left: str, mark: str, right: str, model: Model) -> bool:
     return not (a in model.words and b in model.words and model.words[a] > 50 and model.words[b] > 50 and skeleton(a + b) not in model.by_skeleton)
 
 
-_BANG = re.compile(r"[!|](?=\s+[a-zà-ÿ])")
-_BEFORE = re.compile(r"[^\W_]*[^\W\d_]\Z")
+_BANG = re.compile(r"[!|](?<=[^\W\d_].)(?=\s+[a-zà-ÿ])")
 
 
 class Page:
@@ -269,10 +343,12 @@ class Page:
                 self.noise.append((i, "page_number"))
                 self.furniture.add(i)
                 free[i] = True
-        edges = edge_lines(self.lines, free=free)
+        edges = edge_lines(self.lines, free)
         known = {head_key(self.lines[i]) for i, f in edges.items() if f in model.furniture}
         # a header may stand within a paragraph, with nothing around it
-        edges |= {i: f for i, f in edge_lines(self.lines, everywhere=True, free=free).items() if i not in edges and (f in model.furniture or head_key(self.lines[i]) in known)}
+        for i, x in enumerate(self.lines):
+            if not free[i] and i not in edges and (f := short_shape(x)) and (f in model.furniture or head_key(x) in known):
+                edges[i] = f
         key = {i: head_key(self.lines[i]) for i in edges}
         often = Counter(key.values())
         for i, f in edges.items():
@@ -298,7 +374,7 @@ class Page:
         low = text.lower()
         if len(low) != len(text):  # a letter whose lower case is longer would shift the places
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        suspects = [w for w in set(_TOKEN.findall(low)) - model.good if model.verdict(w) != (None, False)]
+        suspects = set(chain.from_iterable(map(model.suspects.__getitem__, set(low.split()))))
         starts, at = [], 0
         for x in self.lines:
             starts.append(at)
@@ -306,7 +382,7 @@ class Page:
         into = {j: i for i, j in self.joined.items()}
         bad: set[int] = set()
         for w in suspects:
-            f, glitch = model.verdict(w)
+            f, glitch = model.verdicts[w]
             s = low.find(w)
             while s >= 0:
                 e = s + len(w)
@@ -320,9 +396,11 @@ class Page:
                 if self._half(line, into, part, model):
                     bad.add(line)
         for m in _BANG.finditer(low):  # a sign that stands for a letter may end the word
-            before = _BEFORE.search(low[max(0, m.start() - 40) : m.start()])
-            w = before.group() if before else ""
-            f = model.verdict(w + "!")[0] if w and w not in model.words else None
+            s = m.start()
+            while s and low[s - 1].isalnum():
+                s -= 1
+            w = low[s : m.start()]
+            f = model.verdicts[w + "!"][0] if w and w not in model.words else None
             i = bisect.bisect_right(starts, m.start()) - 1
             if f and i not in self.furniture:
                 self.fixes.setdefault(i, []).append((m.start() - len(w) - starts[i], m.end() - starts[i], f))
@@ -355,7 +433,7 @@ class Page:
         else:
             good = any(c.isdigit() or c in "!|" for c in w) or model.expected(f, around) >= EXPECTED.get(len(w), 0.0)
         if good:
-            self.fixes.setdefault(i, []).append((s, e, _case(line[s:e], f)))
+            self.fixes.setdefault(i, []).append((s, e, _case(line[s:e], model.best(w, around) or f)))
         return good
 
     def _half(self, i: int, into: dict[int, int], part: int, model: Model) -> bool:
@@ -366,7 +444,7 @@ class Page:
         whole = left + right
         if not left or not right or whole in model.words:
             return False
-        f = model.verdict(whole)[0]
+        f = model.verdicts[whole][0]
         if not f:
             return False
         own = left if part else right
