@@ -41,3 +41,24 @@ def test_edges(spark):
 
 def test_cues_repair_encoding():
     assert p10.cues(srt(["VoilÃ\xa0 le cafÃ©", "<i>Das MÃ¼hle</i>"])) == [["voilà", "café"], ["das", "mühle"]]
+
+
+def test_labels_are_kept_and_reach_copies(spark):
+    docs, truth = corpus(120)
+    docs = [*docs, (500, docs[1][1]), (501, docs[1][1].replace("00:00", "00:07"))]
+    labels = [(d, s) for d in range(0, 120, 4) for s in (truth[d] or {None})]
+    # what no word of the file says
+    labels += [(500, "astronomy"), (500, None), (2, None)]
+    got = {}
+    for r in p10.found(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.subject)
+    assert all(got.get(d, set()) == truth[d] for d in range(0, 120, 4))
+    assert got[500] == got[501] == got[1] == {"astronomy"} and 2 not in got
+
+
+def test_terms_that_are_joined_give_the_same(spark):
+    docs, truth = corpus(80)
+    labels = spark.createDataFrame([(d, s) for d in range(0, 80, 4) for s in (truth[d] or {None})], "doc_id long, subject string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    one, other = (sorted((r.doc_id, r.subject, round(r.share, 6)) for r in p10.shares(df, labels, m).collect()) for m in (10**6, 0))
+    assert one == other and one
