@@ -1,18 +1,20 @@
 """Defective prompt and response pairs.
 
 ``truncated_answer``: the distinct responses are sorted by text. In that order a text that another one continues
-stands right before one of its continuations, so one look at the next neighbour finds every shortened version. The
-same order, over the last units of the responses and the whole units of all texts, tells a cut unit from a whole one
-in scripts that write no stop. Lengths at which far more responses end than around them are length limits; a response
-that ends there on an unfinished word or abbreviation is cut. Otherwise a response whose script has stops and that
-ends without one is cut. An ellipsis after a letter or digit is no stop, in any script; neighbours are compared without it.
-
-The order is made in buckets between boundaries taken from a sample; the sample only balances the buckets, and each
-bucket's last text is compared with the next bucket's first, so the result doesn't depend on it. Texts are made
-distinct before, so copies of one response, whatever their share, are one row.
+stands right before one of its continuations, so one look at the next neighbour finds every shortened version. The same
+order is made of the responses' last units among all units, digits levelled: a last unit that another text carries on, and
+that nowhere stands whole, is cut, though it end in a stop (that of an abbreviation, or a number's point) and in scripts
+that write no stop. Lengths at which far more responses end than around them are length limits; of a response that ends
+there, a last unit that ends in a number's point or a short word's, or in Thai one that is no known unit, is cut as well.
+A response that nothing carries on, but whose script has stops and that ends without one, is cut, and so is one that ends
+in an abbreviation. An ellipsis after a letter or digit is no stop, in any script; neighbours are compared without it.
+
+The order is a range partitioning by whole texts into ranges of some ``RANGE_ROWS`` texts; each range's last text is
+compared with the next range's first, so the result doesn't depend on the ranges. Texts are made distinct before, so copies
+of one response, whatever their share, are one row.
 
 ``copied_question``: the response, without case, punctuation and blanks, is the prompt or a long opening stretch of it
-after a lead-in at most. ``refusal``: the response opens by declining in the first person. ``wrong_language``: both
+after a lead-in of at most ``LEAD_MAX`` such characters (a longer one is an answer of its own). ``refusal``: the response opens by declining in the first person. ``wrong_language``: both
 languages are known and differ. ``empty_answer``: null, blanks, invisible characters, punctuation, empty markup or a
 placeholder word.
 
@@ -22,12 +24,15 @@ once; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.session import cut
 
-from .language import language
+from .language import detector, learn
 
 # Placeholder words, without punctuation and blanks.
 PLACEHOLDERS = "na none null nil nan tbd tba todo nosummary nosummaryavailable summarynotavailable notavailable unavailable notapplicable pending empty blank unknown undefined placeholder noanswer notprovided".split()
@@ -59,7 +64,10 @@ _CLOSE = r"[\"'”’»」』)\]*_]"
 _OPEN_DOTS = rf"(?<=[\p{{L}}\p{{M}}\p{{N}}%]{_CLOSE}{{0,3}}\s{{0,3}})[(\[]?(?:\.\s?\.\s?\.|[…⋯]+)[)\]]?$"
 # What a full stop may follow without ending a sentence.
 _ABBREVIATION = r"(?:^|[\s(\[])(?:no|nos|p|pp|para|s|ss|sec|art|arts|pág|mr|mrs|ms|dr|adv|messrs|sr|sra|m|mme|v|vs|e\.g|i\.e|gen|\p{Lu})\.$"
+# the stop of a number, or of a word so short that it may be an abbreviation
+_LOOSE = rf"(?:\p{{N}}|(?<![\p{{L}}\p{{M}}])\p{{L}}{{1,3}})\.{_CLOSE}*$"
 LEAD_MAX, WORDS_MIN, DENSE_MIN = 90, 60, 120
+RANGE_ROWS = 100_000
 
 
 def _plain(x: Column) -> Column:
@@ -67,27 +75,35 @@ def _plain(x: Column) -> Column:
 
 
 def _units(x: Column) -> Column:
-    """Units of a script that parts sentences by blanks, digits levelled."""
-    return F.split(F.regexp_replace(F.regexp_replace(F.trim(x), r"\d[\d.,]*", "0"), r"(?<=[฀-๿])\s+(?=[฀-๿])|\s*\n\s*\n\s*", "\n"), "\n")
+    """The units of a text, digits levelled: parted after a stop before a capital or a letter without case, by blanks in
+    Thai, and by blank lines."""
+    x = F.regexp_replace(F.trim(x), r"\p{N}+(?:[.,]\p{N}+)*", "0")
+    x = F.regexp_replace(x, rf"(?<=[.!?؟]{_CLOSE}{{0,3}})\s+(?=[\"'“‘«(]*[\p{{Lu}}\p{{Lo}}])|(?<=[。！？।።፧])(?!{_CLOSE})\s*|(?<=[฀-๿])\s+(?=[฀-๿])|\s*\n\s*\n\s*", "\n\n")
+    return F.split(x, "\n\n")
 
 
-def next_neighbours(texts: DataFrame, buckets: int = 48) -> DataFrame:
+def next_neighbours(texts: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(t, after) for distinct ``t``: ``after`` is the next text in binary order, null for the last."""
-    spark = texts.sparkSession
     texts = cut(texts.select("t").filter("t is not null").distinct())
-    n = texts.count()
-    sample = texts.sample(min(1.0, 4000 / max(1, n)), 7).select(F.substring("t", 1, 200).alias("t")).limit(8000)
-    heads = sorted(r.t for r in sample.collect())
-    bounds = sorted({heads[i * len(heads) // buckets] for i in range(1, buckets)} if heads else set(), key=lambda s: s.encode())
-    at = F.lit(0)
-    for b in bounds:
-        at = at + (F.col("t") >= F.lit(b)).cast("int")
-    placed = texts.withColumn("bucket", at)
-    inner = placed.withColumn("after", F.lead("t").over(Window.partitionBy("bucket").orderBy("t")))
-    firsts = placed.groupBy("bucket").agg(F.min("t").alias("first"))
-    # at most as many rows as there are buckets
-    following = firsts.select("bucket", F.lead("first").over(Window.orderBy("bucket")).alias("following"))
-    return inner.join(F.broadcast(following), "bucket").select("t", F.coalesce("after", "following").alias("after")) if bounds else inner.select("t", "after")
+    n = max(texts.sparkSession.sparkContext.defaultParallelism if range_rows == RANGE_ROWS else 1, texts.count() // range_rows + 1)
+
+    def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, last = 0, None
+        for b in batches:
+            if len(b):
+                at, t = b["range"].iloc[0], ([] if last is None else [last]) + list(b["t"])
+                last = t[-1]
+                if len(t) > 1:
+                    yield pd.DataFrame({"range": [at] * (len(t) - 1), "t": t[:-1], "after": t[1:]})
+        if last is not None:
+            yield pd.DataFrame({"range": [at], "t": [last], "after": [None]})
+
+    # the ranges' numbers follow their order
+    placed = cut(texts.repartitionByRange(n, "t").sortWithinPartitions("t").select(F.spark_partition_id().alias("range"), "t").mapInPandas(lead, "range int, t string, after string"))
+    # one row for each range
+    firsts = placed.groupBy("range").agg(F.min("t").alias("first"))
+    following = firsts.select("range", F.lead("first").over(Window.orderBy("range")).alias("following"))
+    return placed.join(F.broadcast(following), "range").select("t", F.coalesce("after", "following").alias("after"))
 
 
 def length_limits(texts: DataFrame) -> DataFrame:
@@ -100,10 +116,17 @@ def length_limits(texts: DataFrame) -> DataFrame:
 
 def defects(df: DataFrame, key: str = "dataset_id", prompt: str = "input_text", response: str = "target_summary") -> DataFrame:
     """(dataset_id, defect_type) of every defective pair."""
+    return explained(df, key, prompt, response).select("dataset_id", "defect_type").distinct()
+
+
+def explained(df: DataFrame, key: str = "dataset_id", prompt: str = "input_text", response: str = "target_summary") -> DataFrame:
+    """(dataset_id, defect_type, evidence): of a truncated answer what showed it (``neighbour``, ``ellipsis``, ``limit``,
+    ``open end`` or ``abbreviation``, the first of these), else null."""
     pairs = df.select(F.col(key).alias("dataset_id"), F.col(prompt).alias("p"), F.col(response).alias("t")).filter("dataset_id is not null")
     core = F.regexp_replace(F.regexp_replace(F.coalesce("t", F.lit("")), r"<[^<>]*>", ""), r"[^\p{L}\p{N}]+", "")
     empty = (core == "") | F.lower(core).isin(PLACEHOLDERS)
     a, b = _plain(F.col("p")), _plain(F.col("t"))
+    language = detector(learn(pairs.select(F.concat_ws("\n", "p", "t").alias("text"))))
     pairs = pairs.select("dataset_id", "t", empty.alias("empty"), a.alias("a"), b.alias("b"), language(F.col("p")).alias("lp"), language(F.col("t")).alias("lt"), "p")
     # where the prompt's opening stands in the response, and what of the response stands from there on
     at = F.when(F.length("a") > 0, F.expr("locate(substring(a, 1, 24), b)")).otherwise(0)
@@ -114,13 +137,13 @@ def defects(df: DataFrame, key: str = "dataset_id", prompt: str = "input_text",
     whole = F.col("rest") == F.col("a")
     copied = (F.col("at").between(1, LEAD_MAX)) & F.expr("startswith(a, rest)") & (whole | long)
     text = F.regexp_replace(F.trim(F.col("t")), r"[\s ​﻿]+$", "")
-    refusal = F.lower(F.substring(F.regexp_replace("t", "’", "'"), 1, 600)).rlike(r"^\s*" + LEAD_IN + "(?:" + "|".join(f"(?:{r})" for r in REFUSALS) + ")")
+    refusal = F.lower(F.regexp_replace("t", "’", "'")).rlike(r"^\s*" + LEAD_IN + "(?:" + "|".join(f"(?:{r})" for r in REFUSALS) + ")")
     stopless = F.col("lt").isin("th")
     dotted = text.rlike(_OPEN_DOTS)
     open_end = ~text.rlike(_END + _CLOSE + "*$") | text.rlike(r"[,;:\-–—](?:\.\.\.|…)$") | dotted
-    abbreviation = text.rlike(_ABBREVIATION)
+    abbreviation, loose = text.rlike(_ABBREVIATION), text.rlike(_LOOSE)
     text = F.regexp_replace(text, r"\s*" + _OPEN_DOTS, "")  # neighbours are compared without the dots
-    pairs = cut(pairs.select("dataset_id", "t", text.alias("text"), F.when(F.col("lp") == "th", F.col("p")).alias("p"), "empty", F.coalesce(copied, F.lit(False)).alias("copied"), refusal.alias("refusal"), "lp", "lt", F.coalesce(stopless, F.lit(False)).alias("stopless"), open_end.alias("open_end"), F.coalesce(dotted, F.lit(False)).alias("dotted"), abbreviation.alias("abbreviation")).distinct())
+    pairs = cut(pairs.select("dataset_id", "t", text.alias("text"), F.when(F.col("lp") == "th", F.col("p")).alias("p"), "empty", F.coalesce(copied, F.lit(False)).alias("copied"), refusal.alias("refusal"), "lp", "lt", F.coalesce(stopless, F.lit(False)).alias("stopless"), open_end.alias("open_end"), F.coalesce(dotted, F.lit(False)).alias("dotted"), abbreviation.alias("abbreviation"), loose.alias("loose")).distinct())
 
     answers = pairs.filter("not empty and not copied")
     after = next_neighbours(answers.select(F.col("text").alias("t")))
@@ -129,17 +152,26 @@ def defects(df: DataFrame, key: str = "dataset_id", prompt: str = "input_text",
     goes_on = F.col("t").rlike(r"\.$") & F.expr("substring(after, length(t) + 1, 1)").rlike(r"[\p{Ll}\d]")
     shortened = after.filter(F.expr("startswith(after, t)")).filter(~stopped | goes_on).select(F.col("t").alias("text"), F.lit(True).alias("shortened"))
     limits = length_limits(answers.select("t"))
-    last = answers.filter("stopless").select("dataset_id", F.element_at(_units(F.col("text")), -1).alias("t"))
-    whole_units = answers.filter("stopless").select(F.explode(F.slice(_units(F.col("text")), 1, F.greatest(F.size(_units(F.col("text"))) - 1, F.lit(0)))).alias("t")).unionByName(pairs.filter("lp = 'th'").select(F.explode(_units(F.col("p"))).alias("t")))
-    whole_units = whole_units.groupBy("t").agg(F.count("*").alias("n")).filter("length(t) > 1")
-    units = whole_units.select("t").unionByName(last.select("t"))
-    cut_units = next_neighbours(units).filter("startswith(after, t)").select("t").join(whole_units, "t", "left_anti")
-    cut_ids = last.join(cut_units, "t", "left_semi").select("dataset_id").distinct().withColumn("cut_unit", F.lit(True))
-
-    judged = answers.join(shortened, "text", "left").join(F.broadcast(limits.withColumn("limit_hit", F.lit(True))), F.length("t") == F.col("n"), "left").join(cut_ids, "dataset_id", "left")
-    truncated = ~F.col("refusal") & F.when(F.col("stopless"), F.col("dotted") | F.coalesce("cut_unit", F.lit(False))).otherwise(F.col("open_end") | F.coalesce("shortened", F.lit(False)) | (F.coalesce("limit_hit", F.lit(False)) & F.col("abbreviation")) | F.col("abbreviation"))
+    ends = cut(answers.select("dataset_id", "stopless", _units(F.col("text")).alias("u")).select("dataset_id", "stopless", F.regexp_replace(F.element_at("u", -1), _CLOSE + "+$", "").alias("t"), F.slice("u", 1, F.greatest(F.size("u") - 1, F.lit(0))).alias("inner")))
+    # of a number's point, what stands before it may be carried on too
+    last = ends.select("dataset_id", F.explode(F.array_compact(F.array("t", F.when(F.col("t").rlike(r"0\.$"), F.expr("substring(t, 1, length(t) - 1)"))))).alias("t"), "t").toDF("dataset_id", "t", "unit")
+    whole = ends.select(F.explode("inner").alias("t")).unionByName(pairs.filter("lp = 'th'").select(F.explode(_units(F.col("p"))).alias("t")))
+    whole = cut(whole.select(F.regexp_replace("t", _CLOSE + "+$", "").alias("t")).filter("length(t) > 1").distinct())
+    carried = next_neighbours(whole.select("t").unionByName(last.select("t"))).filter(F.expr("startswith(after, t)")).filter((F.col("t") != "") & F.expr("substring(after, length(t) + 1, 1)").rlike(r"[\s\p{L}\p{M}\p{N}]")).select("t")
+    known = whole.select(F.col("t").alias("unit"), F.lit(True).alias("known"))
+    cut_ids = last.join(carried, "t", "left_semi").join(known, "unit", "left_anti").select("dataset_id").distinct().withColumn("cut_unit", F.lit(True))
+    # in Thai a unit at a limit is whole only if it is known
+    known_ids = ends.filter("stopless").select("dataset_id", F.col("t").alias("unit")).join(known, "unit", "left_semi").select("dataset_id").distinct().withColumn("known_unit", F.lit(True))
+
+    judged = answers.join(shortened, "text", "left").join(F.broadcast(limits.withColumn("limit_hit", F.lit(True))), F.length("t") == F.col("n"), "left").join(cut_ids, "dataset_id", "left").join(known_ids, "dataset_id", "left")
+    of = lambda c: F.coalesce(c, F.lit(False))
+    neighbour = of("cut_unit") | (~F.col("stopless") & of("shortened"))
+    limit = of("limit_hit") & F.when(F.col("stopless"), ~of("known_unit")).otherwise(F.col("loose"))
+    shown = F.when(neighbour, "neighbour").when(F.col("dotted"), "ellipsis").when(limit, "limit").when(~F.col("stopless") & F.col("open_end"), "open end").when(~F.col("stopless") & F.col("abbreviation"), "abbreviation")
+    shown = F.when(~F.col("refusal"), shown)
     wrong = F.coalesce(F.col("lp") != F.col("lt"), F.lit(False))
-    kinds = F.array_compact(F.array(F.when(F.col("refusal"), "refusal"), F.when(truncated, "truncated_answer"), F.when(wrong, "wrong_language")))
-    rest = judged.select("dataset_id", F.explode(kinds).alias("defect_type"))
-    plain = pairs.filter("empty or copied").select("dataset_id", F.when(F.col("empty"), "empty_answer").otherwise("copied_question").alias("defect_type"))
+    kind = lambda name, evidence=None: F.struct(F.lit(name).alias("defect_type"), (F.lit(None).cast("string") if evidence is None else evidence).alias("evidence"))
+    kinds = F.array_compact(F.array(F.when(F.col("refusal"), kind("refusal")), F.when(shown.isNotNull(), kind("truncated_answer", shown)), F.when(wrong, kind("wrong_language"))))
+    rest = judged.select("dataset_id", F.explode(kinds).alias("k")).select("dataset_id", "k.*")
+    plain = pairs.filter("empty or copied").select("dataset_id", F.when(F.col("empty"), "empty_answer").otherwise("copied_question").alias("defect_type"), F.lit(None).cast("string").alias("evidence"))
     return plain.unionByName(rest).distinct()

@@ -20,6 +20,10 @@ def p2_found(spark, sf_dir):
     return p2.defects(table(spark, sf_dir, "legal_summary_dataset").select("dataset_id", "input_text", "target_summary"))
 
 
+def p2_explained(spark, sf_dir):
+    return p2.explained(table(spark, sf_dir, "legal_summary_dataset").select("dataset_id", "input_text", "target_summary"))
+
+
 def p4_found(spark, sf_dir):
     legal = table(spark, sf_dir, "legal_documents").select("id", "extracted_text")
     return p4.found(legal, table(spark, sf_dir, "legal_summary_dataset").select("dataset_id", "input_text"))
@@ -107,6 +111,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_repaired": p1_repaired,
     "p2_found": p2_found,
+    "p2_explained": p2_explained,
     "p3_found": p3_found,
     "p3_redacted": p3_redacted,
     "p4_found": p4_found,
