@@ -71,6 +71,11 @@ def p3_redacted(spark, sf_dir):
     return p3.redacted(legal, summaries, key=b"lexmill demonstration key")
 
 
+def p3_redacted_dates(spark, sf_dir):
+    legal, summaries = table(spark, sf_dir, "legal_documents").select("id", "extracted_text"), table(spark, sf_dir, "summaries").select("id", "parties")
+    return p3.redacted(legal, summaries, key=b"lexmill demonstration key", dates=True)
+
+
 def p1_found(spark, sf_dir):
     return p1.found(table(spark, sf_dir, "legal_documents").select("id", "mime_type", "extracted_text"))
 
@@ -114,6 +119,7 @@ QUERIES = {
     "p2_explained": p2_explained,
     "p3_found": p3_found,
     "p3_redacted": p3_redacted,
+    "p3_redacted_dates": p3_redacted_dates,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,

@@ -42,6 +42,26 @@ def test_equal_values_stay_linked():
     assert len({digits(p3.pseudonym(x, "phone", KEY)) for x in ("+263 70 629 1343", "+263-70-629-1343", "00263 706291343", "0706291343", "070 629 1343")}) == 1
 
 
+def test_country_codes():
+    digits = lambda s: re.sub(r"\D", "", s)[-10:]
+    uk = ("+44 7700 900123", "07700 900123", "+44 (0)7700 900123", "0044 7700 900123")
+    assert len({digits(p3.pseudonym(x, "phone", KEY)) for x in uk}) == 1 and p3.pseudonym(uk[0], "phone", KEY).startswith("+44 ")
+    us = p3.pseudonym("+1 202 555 0143", "phone", KEY)
+    assert us.startswith("+1 ") and re.sub(r"\D", "", us)[1:4] != "202" and digits(us) == digits(p3.pseudonym("+1-202-555-0143", "phone", KEY))
+    for x in ("+44 7700 900123", "07700 900123", "+1 202 555 0143", "+49 30 901820"):
+        assert kinds(f"Call {x} now, or see line 12.") == [("phone", x)]
+    assert kinds("Codes +83 111 222 333 and 0000000000 and ID 00 000000 A 00 stay.") == []
+
+
+def test_names_with_accents():
+    assert kinds("signed by Rúvani Kündrcva and J. Órduko") == [("person_name", "Rúvani Kündrcva"), ("person_name", "J. Órduko")]
+
+
+def test_dates_move_in_their_form():
+    out = p3.redact("On 5 January 2021, on 3 Mar. 2004, on 2020-02-29 and on 30/02/2020.", SURNAMES, GIVEN, KEY, dates=True)
+    assert re.fullmatch(r"On \d{1,2} [A-Z][a-z]+ \d{4}, on \d{1,2} [A-Z][a-z]{2}\. \d{4}, on \d{4}-\d\d-\d\d and on 30/02/2020\.", out) and "5 January 2021" not in out
+
+
 def test_found_and_redacted(spark):
     surnames, given_names = ("Tingoreva", "Shangoreva", "Kunduko", "Manduko"), ("Ruvani", "Tavani", "Rutor", "Bator")
     people = [f"{a} {b}" for a in given_names for b in surnames]
