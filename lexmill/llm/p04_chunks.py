@@ -8,7 +8,8 @@ sentence end. Where a window holds no gap the last white space is the cut, and w
 The next piece begins up to ``overlap`` characters earlier, at a sentence start where one lies there, else a word's.
 
 The work per item is linear in its length, whatever that is. Sizes count code points. Null and short texts give no
-piece; equal items under several keys are cut alike; repeated rows count once where the key names the row.
+piece; equal items under several keys are cut alike. ``found`` names an item once; ``pieces`` cuts repeated rows once if asked
+to (``distinct``, which moves the oversized texts once), else each of them.
 """
 
 from __future__ import annotations
@@ -136,11 +137,13 @@ def cut_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP, block: int
     return out
 
 
-def pieces(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def pieces(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, distinct: bool = True) -> DataFrame:
     """(row_key, piece_no, start_pos, end_pos, boundary, piece) of the items of more than ``limit`` characters."""
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be under half the limit")
-    big = df.select(F.col(key).cast("string").alias("row_key"), F.col(text).alias("body")).filter(F.length("body") > limit).distinct()
+    big = df.select(F.col(key).cast("string").alias("row_key"), F.col(text).alias("body")).filter(F.length("body") > limit)
+    if distinct:
+        big = big.distinct()
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -155,7 +158,7 @@ def pieces(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int
 
 def found(legal: DataFrame, dataset: DataFrame) -> DataFrame:
     """(source_table, row_key) of the items that were cut into more than one piece."""
-    a = pieces(legal, "id", "extracted_text").withColumn("source_table", F.lit("legal_documents"))
-    b = pieces(dataset, "dataset_id", "input_text").withColumn("source_table", F.lit("legal_summary_dataset"))
-    # a second piece names each oversized item once, so nothing is left to shuffle
-    return a.unionByName(b).filter("piece_no = 2").select("source_table", "row_key")
+    a = pieces(legal, "id", "extracted_text", distinct=False).withColumn("source_table", F.lit("legal_documents"))
+    b = pieces(dataset, "dataset_id", "input_text", distinct=False).withColumn("source_table", F.lit("legal_summary_dataset"))
+    # a second piece names an oversized row; only names are moved to make them distinct
+    return a.unionByName(b).filter("piece_no = 2").select("source_table", "row_key").distinct()

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.session import cut
+from lexmill.session import cut, written
 
 SHARES = {"train": 80, "validation": 10, "test": 10}
 _FOREST = "lo long, hi long, weight string"
@@ -127,6 +127,15 @@ def _gcd(a: int, b: int) -> int:
     return a if not b else _gcd(b, a % b)
 
 
+def forest(df: DataFrame) -> DataFrame:
+    """(dataset_id, document_ids, summary_ids): the persisted spanning forest, an edge a row: the record that ties its two keys.
+    It has one edge fewer than keys in each tree, and its trees are the groups."""
+    _, picked = grouped(df)
+    ends = F.array("lo", "hi")
+    of = lambda odd: F.array_sort(F.transform(F.filter(ends, lambda x: x % 2 == odd), lambda x: (x - odd) / 2)).cast("array<long>")
+    return written(picked.distinct().select(F.col("weight").alias("dataset_id"), of(0).alias("document_ids"), of(1).alias("summary_ids")), "forest")
+
+
 def found(df: DataFrame) -> DataFrame:
     """(dataset_id, group_id) of the records that share their split with at least one other."""
     by, _ = grouped(df)

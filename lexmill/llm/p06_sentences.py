@@ -1,19 +1,21 @@
 """Sentence units across languages and scripts, wholly in SQL expressions.
 
-Every stop that cannot end a sentence is masked by a private-use character of its own (decimals, initials, titles
+Every stop that cannot end a sentence is masked by a character of its own that no text may hold (Unicode's noncharacters;
+where a text holds them they come out as U+FFFD): decimals, initials, titles
 and other abbreviations, addresses of the web and of mail, everything inside quotations and brackets, an ellipsis in
-mid sentence); what is left of the terminators of each script ends a unit, closing quotes and brackets included, and
+mid sentence. What is left of the terminators of each script ends a unit, closing quotes and brackets included, and
 so does a blank line or the end of the text. Masks keep the length, so offsets in the masked text are offsets in the
 text. Thai has no stop: there a blank between two Thai letters ends a unit.
 
-The pieces of one document are numbered by a window over that document's own rows, in which only offsets travel.
-Null texts and texts without anything but blanks have no unit. Repeated rows give repeated units; the same text
+The pieces of one document are numbered, and their offsets summed, within its own row, so nothing is shuffled. A quotation
+may be of any length within its paragraph, and hold another with the same marks (a third inside that is read as the
+second's text). Null texts and texts without anything but blanks have no unit. Repeated rows give repeated units; the same text
 under two ids is cut alike. Positions count code points from 1.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Titles and the like that never end a sentence; words that are cut short only before a number; and
@@ -22,10 +24,11 @@ NEVER = "Mr Mrs Ms Messrs Dr Dra Prof Adv Hon Rev Gen Col Capt Sgt Lt Sr Sra Exm
 BEFORE_NUMBER = "no nos No Nos p pp P Pp pág págs para paras Para s ss S sec Sec art arts Art Arts ch Ch cl reg vol Vol fig Fig núm approx tel Tel"
 MAYBE = "Ltd Pvt Inc Co Corp Bros Jr etc al Ave Rd St Blvd Cres Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec"
 
-DOT, BANG, ASK, FULL, FBANG, FASK, ELL, DANDA, ETH, AASK, EASK = (chr(0xE000 + i) for i in range(11))
+DOT, BANG, ASK, FULL, FBANG, FASK, ELL, DANDA, ETH, AASK, EASK = (chr(0xFDD0 + i) for i in range(11))
 STOPS = ".!?。！？…।።؟፧"
 MASKS = DOT + BANG + ASK + FULL + FBANG + FASK + ELL + DANDA + ETH + AASK + EASK
-OPEN, CLOSE, MARK = chr(0xE00E), chr(0xE00F), chr(0xE010)
+OPEN, CLOSE, MARK, INNER_OPEN, INNER_CLOSE = (chr(0xFDE0 + i) for i in range(5))
+OURS = MASKS + OPEN + CLOSE + MARK + INNER_OPEN + INNER_CLOSE
 CLOSERS = f"[\\\"'”’»」』)\\]{CLOSE}]"
 
 
@@ -36,7 +39,7 @@ def _alternatives(words: str) -> str:
 def masked(text: Column) -> Column:
     """``text`` with every stop that ends no sentence, and each straight quote's side, masked one for one."""
     r = F.regexp_replace
-    x = F.translate(text, MARK, " ")
+    x = F.translate(text, OURS, "\ufffd" * len(OURS))
     # straight quotes are told apart by their neighbours
     x = r(x, r'(?<![^\s(\[:;,])"(?=\S)', OPEN)
     x = r(x, r'"', CLOSE)
@@ -67,14 +70,24 @@ def masked(text: Column) -> Column:
 _PAIRS = (("“", "”", ".!?。！？"), ("«", "»", ".!?"), ("「", "」", "。！？"), ("『", "』", "。！？"), (OPEN, CLOSE, ".!?"), ("(", ")", ".!?"), ("（", "）", "。！？"))
 
 
+def _closed(x: Column, o: str, c: str, change: tuple[str, str]) -> Column:
+    """``x`` with characters changed in every stretch from an opening mark to the closing mark that is next to it, with no
+    other mark and no blank line between them."""
+    parts = F.split(x, rf"(?=\Q{o}\E)|(?<=\Q{c}\E)|(?<=\n)(?=\s*\n)", -1)
+    return F.array_join(F.transform(parts, lambda s: F.when(s.startswith(o) & s.endswith(c), F.translate(s, *change)).otherwise(s)), "")
+
+
 def masked_inside(df: DataFrame, col: str) -> DataFrame:
     """``col`` with the stops inside each kind of quotation and bracket masked. A kind is one projection, entered only
-    by the rows that hold its closing mark, since the search ahead of every stop costs more than all other masks."""
+    by the rows that hold its closing mark."""
     for o, c, stops in _PAIRS:
+        masks = "".join(MASKS[STOPS.index(x)] for x in stops)
         x = F.col(col)
-        for stop in stops:
-            x = F.regexp_replace(x, rf"\Q{stop}\E(?=(?:[^\Q{o}{c}\E\n]|\n(?!\s*\n)){{0,400}}\Q{c}\E)", MASKS[STOPS.index(stop)])
-        df = df.withColumn(col, F.when(F.col(col).contains(c), x).otherwise(F.col(col)))
+        # of a quotation inside another the marks are hidden first, so that the outer one has no mark within
+        nested = x.rlike(rf"\Q{o}\E[^\Q{c}\E]*\Q{o}\E[^\Q{o}{c}\E]*\Q{c}\E[^\Q{o}\E]*\Q{c}\E")
+        inner = _closed(x, o, c, (stops + o + c, masks + INNER_OPEN + INNER_CLOSE))
+        outer = F.translate(_closed(inner, o, c, (stops, masks)), INNER_OPEN + INNER_CLOSE, o + c)
+        df = df.withColumn(col, F.when(F.col(col).contains(c), F.when(nested, outer).otherwise(_closed(x, o, c, (stops, masks)))).otherwise(F.col(col)))
     return df
 
 
@@ -98,19 +111,19 @@ def marked(x: Column) -> Column:
 def units(df: DataFrame, key: str, text: str, with_text: bool = True) -> DataFrame:
     """(document_id, sentence_no, start_pos, end_pos[, sentence]) of every unit."""
     body = df.select(F.col(key).alias("document_id"), F.col(text).alias("body")).filter("body is not null")
-    # the row's number is given before the pieces are made: repeated ids stay apart
-    body = masked_inside(body.select("document_id", F.monotonically_increasing_id().alias("row"), masked(F.col("body")).alias("body")), "body")
-    cut = body.select("document_id", "row", F.posexplode(F.split(marked(F.col("body")), MARK, -1)).alias("i", "piece"))
-    blank = r"[\s ​﻿]"
-    cut = cut.select("document_id", "row", "i", F.length("piece").alias("n"), F.length(F.regexp_replace("piece", rf"{blank}+\z", "")).alias("kept"), F.length(F.regexp_extract("piece", rf"\A{blank}*", 0)).alias("lead"), *(["piece"] if with_text else []))
-    w = Window.partitionBy("row").orderBy("i")
-    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = cut.withColumn("before", before).filter("kept > 0")
-    cols = [F.col("document_id"), (F.col("before") + F.col("lead") + 1).alias("start_pos"), (F.col("before") + F.col("kept")).alias("end_pos")]
+    body = masked_inside(body.select("document_id", masked(F.col("body")).alias("body")), "body")
+    pieces = body.select("document_id", F.split(marked(F.col("body")), MARK, -1).alias("pieces"))
+    blank = r"[\s ​﻿]"
+    size = lambda p: F.struct(F.length(p).alias("n"), F.length(F.regexp_replace(p, rf"{blank}+\z", "")).alias("kept"), F.length(F.regexp_extract(p, rf"\A{blank}*", 0)).alias("lead"))
+    pieces = pieces.select("document_id", *(["pieces"] if with_text else []), F.transform("pieces", size).alias("sizes"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    before = F.aggregate("sizes", start, lambda acc, x: F.struct((acc.at + x.n).alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out")), lambda acc: acc.out)
+    zipped = F.filter(F.arrays_zip("sizes", before.alias("before"), *(["pieces"] if with_text else [])), lambda u: u.sizes.kept > 0)
+    out = pieces.select("document_id", F.posexplode(zipped).alias("i", "u"))
+    cols = [F.col("document_id"), (F.col("u.before") + F.col("u.sizes.lead") + 1).cast("long").alias("start_pos"), (F.col("u.before") + F.col("u.sizes.kept")).cast("long").alias("end_pos")]
     if with_text:
-        restored = F.translate(F.expr("substring(piece, lead + 1, kept - lead)"), MASKS + OPEN + CLOSE, STOPS + '""')
-        cols += [restored.alias("sentence")]
-        return out.select(*cols, F.row_number().over(Window.partitionBy("row").orderBy("i")).alias("sentence_no"))
+        restored = F.translate(F.expr("substring(u.pieces, u.sizes.lead + 1, u.sizes.kept - u.sizes.lead)"), MASKS + OPEN + CLOSE, STOPS + '""')
+        cols += [restored.alias("sentence"), (F.col("i") + 1).alias("sentence_no")]
     return out.select(*cols)
 
 

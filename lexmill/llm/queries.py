@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from lexmill.session import table
 
 from . import p01_scan_noise as p1
@@ -32,7 +34,7 @@ def p4_found(spark, sf_dir):
 def p4_pieces(spark, sf_dir):
     from pyspark.sql import functions as F
 
-    legal = p4.pieces(table(spark, sf_dir, "legal_documents").select("id", "extracted_text"), "id", "extracted_text")
+    legal = p4.pieces(table(spark, sf_dir, "legal_documents").select("id", "extracted_text"), "id", "extracted_text", distinct=False)
     pairs = p4.pieces(table(spark, sf_dir, "legal_summary_dataset").select("dataset_id", "input_text"), "dataset_id", "input_text")
     return legal.withColumn("source_table", F.lit("legal_documents")).unionByName(pairs.withColumn("source_table", F.lit("legal_summary_dataset")))
 
@@ -45,6 +47,10 @@ def p5_splits(spark, sf_dir):
     return p5.splits(table(spark, sf_dir, "legal_summary_dataset").select("dataset_id", "document_id", "summary_id"))
 
 
+def p5_forest(spark, sf_dir):
+    return p5.forest(table(spark, sf_dir, "legal_summary_dataset").select("dataset_id", "document_id", "summary_id"))
+
+
 def p6_found(spark, sf_dir):
     return p6.found(table(spark, sf_dir, "legal_documents").select("id", "mime_type", "extracted_text"))
 
@@ -96,8 +102,12 @@ def p7_levels(spark, sf_dir):
     return p7.levels(*_p7_inputs(spark, sf_dir))
 
 
+# the driver's copy of a public vocabulary; LEXMILL_TOKENIZER names another
+TOKENIZER = os.environ.get("LEXMILL_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
 def _p9_inputs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "text"), table(spark, sf_dir, "mix_targets")
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"), TOKENIZER
 
 
 def p9_mixture(spark, sf_dir):
@@ -124,6 +134,7 @@ QUERIES = {
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_splits": p5_splits,
+    "p5_forest": p5_forest,
     "p6_found": p6_found,
     "p6_sentences": p6_sentences,
     "p7_found": p7_found,

@@ -48,3 +48,14 @@ def test_edges(spark):
     items = spark.createDataFrame([(1, "too short to leak"), (2, None), (None, "a b"), (1, "too short to leak")], "item_id long, text string")
     assert p8.found(none, items).count() == 0
     assert p8.found(spark.createDataFrame([(1, srt("too short to leak".split()))], "doc_id long, text string"), items).count() == 0
+
+
+def test_a_word_put_in_is_near_and_an_index_serves_again(spark, monkeypatch):
+    w = ITEMS[0][1].split()
+    docs = spark.createDataFrame([(1, srt(w[:8] + ["indeed"] + w[8:16])), (2, srt(w[:5])), (3, srt(w))], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
+    made = p8.index(docs)
+    assert {(r.doc_id, r.kind) for r in p8.matches(None, items, postings=made).collect()} == {(1, "proximity"), (3, "phrase")}
+    # the joins that take the place of broadcasts
+    monkeypatch.setattr(p8, "BROADCAST_ROWS", 0)
+    assert {(r.doc_id, r.kind) for r in p8.matches(None, items, postings=made).collect()} == {(1, "proximity"), (3, "phrase")}

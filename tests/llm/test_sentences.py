@@ -30,3 +30,16 @@ def test_edges(spark):
     assert [g for g in got if g[0] == 4] == [(4, 1, 4), (4, 1, 4), (4, 6, 9), (4, 6, 9)] and [g for g in got if g[0] == 6] == [(6, 1, 7)] and not [g for g in got if g[0] < 4]
     legal = spark.createDataFrame([(1, "text/plain", "x" * 20), (2, "application/pdf", "y" * 40), (3, None, "z" * 40)], "id long, mime_type string, extracted_text string")
     assert p6.found(legal).count() == 0
+
+
+def test_long_and_nested_quotations(spark):
+    inside = "It was said again. " * 60
+    parts = [f"The clerk wrote: “{inside.strip()}” and left. ", "He said “she told me “go now. Go.” and I went. So did they.” to the court. ", "Then it rained."]
+    text = "".join(parts)
+    got = p6.units(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").orderBy("sentence_no").collect()
+    assert [r.sentence for r in got] == [p.strip() for p in parts]
+
+
+def test_characters_that_no_text_may_hold(spark):
+    got = p6.units(spark.createDataFrame([(1, "Odd \ufdd0 sign. Next \ue000\ue00e one.")], "id long, t string"), "id", "t").orderBy("sentence_no").collect()
+    assert [r.sentence for r in got] == ["Odd \ufffd sign.", "Next \ue000\ue00e one."]

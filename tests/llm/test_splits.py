@@ -60,3 +60,26 @@ def test_edges(spark):
     assert p5.found(df).count() == 0 and p5.splits(df).count() == 0
     alone = spark.createDataFrame([("a", None, None), ("b", 0, -1), (None, 5, 5), ("c", 5, 5)], SCHEMA)
     assert p5.found(alone).count() == 0 and {r.dataset_id for r in p5.splits(alone).collect()} == {"a", "b", "c"}
+
+
+def test_forest_spans_the_groups_and_has_no_circle(spark):
+    rng = random.Random(5)
+    rows = [(f"r{i:03d}", rng.choice([None, 0, *range(1, 60)]), rng.choice([None, -1, *range(1, 60)])) for i in range(120)]
+    got = p5.forest(spark.createDataFrame(rows, SCHEMA)).collect()
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for r in got:
+        a, b = [("d", x) for x in r.document_ids] + [("s", x) for x in r.summary_ids]
+        assert find(a) != find(b)
+        parent[find(a)] = find(b)
+    full = {}
+    keys = {k for _, d, s in rows for k in ([("d", d)] if d and d > 0 else []) + ([("s", s)] if s and s > 0 else [])}
+    for _, d, s in rows:
+        if d and d > 0 and s and s > 0:
+            full.setdefault(("d", d), set()).add(("s", s))
+    assert all(find(a) == find(b) for a, bs in full.items() for b in bs) and len(got) == len(keys) - len({find(k) for k in keys})
