@@ -6,7 +6,9 @@ own is set only where that is unset, as in local tests.
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -28,15 +30,34 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; one is made under the system's temporary folder only where none is set."""
+    """The checkpoint folder of the session. Where none is set a local session gets one under the system's temporary folder,
+    removed at its end; on a cluster that is an error, for a folder of one machine is no place for the others' tables."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lexmill-checkpoint"))
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not named:
+            own = tempfile.mkdtemp(prefix="lexmill-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(named or own)
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
+def clean(spark: SparkSession) -> int:
+    """Removes the tables that ``written`` made so far, once no result is to be read any more; gives their number. Checkpoints
+    are removed by ``spark.cleaner.referenceTracking.cleanCheckpoints``."""
+    n = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -51,6 +72,7 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     if partition_by:
         out = out.partitionBy(*partition_by)
     out.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

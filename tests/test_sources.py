@@ -33,3 +33,10 @@ def test_glyphs(spark):
     lines = glyphs.lines(spark.createDataFrame(rows + [(1, 1, None, 0.0, 0.0, 0.0, 0.0)], "doc_id long, page int, str string, x double, y double, width double, height double"))
     assert [r.line for r in lines.orderBy("line_no").collect()] == ["Hello world.", "next-", "line", "New"]
     assert glyphs.page_texts(lines).first().text == "─── PAGE 1 ───\nHello world. nextline\n\nNew"
+
+
+def test_written_tables_are_removed_on_request(spark):
+    from lexmill import session
+
+    df = session.written(spark.range(3).toDF("id"), "kept")
+    assert df.count() == 3 and session.clean(spark) >= 1 and session.clean(spark) == 0
