@@ -16,8 +16,8 @@ documents, by joins, until under ``SETTLED`` of the telling terms change (or ``M
 document keeps every subject that enough of its cues lean to, so one can hold several. At the end each cue speaks of the
 subject its telling terms agree on, and a document has the subjects that ``THRESHOLD`` of its cues speak of.
 
-For that last step the telling terms travel with the tasks if there are at most ``MAX_TERMS``; more of them are joined to the
-cues' words, with the same result. Null and empty texts and files without a cue have no subject but a label's; copies of a
+Terms travel with the tasks where there are at most ``MAX_TERMS``; more of them are joined, in the last step to the cues'
+words, with the same result. Null and empty texts and files without a cue have no subject but a label's; copies of a
 file are files of their own; labels of unknown files and repeated labels are ignored; a file labelled both with a subject and
 as none of them has the subject. Without labels nothing has a subject.
 """
@@ -110,7 +110,12 @@ def leaning(sums: DataFrame, files: DataFrame) -> DataFrame:
     return per.filter(f"docs >= {LEAST}").select("term", F.col("top.subject").alias("subject"), lean.alias("lean")).join(F.broadcast(base), "subject").select("term", "subject", "lean", ((F.col("lean") >= LEAN) & (F.col("subject") != NONE) & (F.col("lean") >= F.col("base") + 0.5 * (1 - F.col("base")))).alias("telling"))
 
 
-def propagate(files: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def _small(terms: DataFrame, n: int, max_terms: int) -> DataFrame:
+    """``terms``, of ``n`` rows, to be broadcast where they are few."""
+    return F.broadcast(terms) if n <= max_terms else terms
+
+
+def propagate(files: DataFrame, max_rounds: int = MAX_ROUNDS, max_terms: int = MAX_TERMS) -> DataFrame:
     """(term, subject, lean) of the telling terms, from ``seeded`` files."""
     tied = files.filter("seeds is not null")
     trusted = cut(_sums(tied.select("seeds", F.explode("edges").alias("e")).select("e.term", "e.n", F.explode("seeds").alias("s")).select("term", "n", "s.subject", "s.part")))
@@ -121,11 +126,12 @@ def propagate(files: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     if max_rounds < 2 or free.isEmpty():
         return lean
     everyone = free.select("doc_id")
-    open_ = cut(free.select("doc_id", "n_cues", F.explode("edges").alias("e")).select("doc_id", "n_cues", "e.term", "e.n").join(first.filter("not telling").select("term"), "term", "left_anti"))
+    closed = first.filter("not telling").select("term")
+    open_ = cut(free.select("doc_id", "n_cues", F.explode("edges").alias("e")).select("doc_id", "n_cues", "e.term", "e.n").join(_small(closed, closed.count(), max_terms), "term", "left_anti"))
     n = lean.count()
     for _ in range(max_rounds - 1):
         # to the documents: by subject the share of cues that hold a telling term
-        held = open_.join(lean, "term").groupBy("doc_id", "subject").agg((F.sum(F.col("n") * F.col("lean")) / F.first("n_cues")).alias("share"))
+        held = open_.join(_small(lean, n, max_terms), "term").groupBy("doc_id", "subject").agg((F.sum(F.col("n") * F.col("lean")) / F.first("n_cues")).alias("share"))
         soft = held.filter(f"share >= {THRESHOLD}").groupBy("doc_id").agg(F.collect_list("subject").alias("all"))
         # a document without a subject is of the class of none
         soft = cut(everyone.join(soft, "doc_id", "left").select("doc_id", F.coalesce("all", F.array(F.lit(NONE))).alias("all")))
@@ -186,7 +192,7 @@ def _labels(subject_labels: DataFrame) -> DataFrame:
 
 
 def _shares(docs: DataFrame, files: DataFrame, max_terms: int) -> DataFrame:
-    lean = propagate(files)
+    lean = propagate(files, max_terms=max_terms)
     texts = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
     return (_told if lean.count() <= max_terms else _joined)(texts, lean)
 
