@@ -85,7 +85,7 @@ def persons(text: Column) -> Column:
 def organisations(text: Column) -> Column:
     found = F.concat(
         all_of(text, r"([A-Z][A-Za-z0-9,&'\-\s()]{3,120}(?:Limited|Ltd|Pvt(?:\s+Ltd)?|Holdings|Corporation|Inc|Group|Trust|Foundation|Authority|Services|Agency|Commission|Committee|Council|University|Bank|Ministry|Department))", "u", 1),
-        all_of(text, r"\b(Mining Commissioner(?:\s+[A-Z][A-Za-z]+){0,4}|Environmental Management Agency|Minister of [A-Z][A-Za-z\s]+|Registrar of Deeds|Master of the High Court|National Prosecuting Authority|Judicial Service Commission)\b", "u", 1),
+        all_of(text, L.PUBLIC_BODIES, "u", 1),
         all_of(text, r"(?:^|\n)([A-Z][A-Z\s,&'\-\(\)]{5,120}(?:LIMITED|LTD|PVT(?:\s+LTD)?|GROUP|TRUST|AUTHORITY|AGENCY|COMMISSION|SERVICES|COUNCIL|UNIVERSITY|BANK|MINISTRY|DEPARTMENT))(?:\n|$)", "u", 1),
     )
     return capped(distinct_ci(F.transform(found, organisation)), 12)

@@ -272,3 +272,83 @@ LATIN = {
     "delictum": "civil wrong", "dolus": "intentional wrongdoing", "mandamus": "court order to perform a public duty", "subpoena": "order to attend court or produce evidence", "affidavit": "sworn written statement",
     "vicarious liability": "legal responsibility for another person's conduct",
 }
+# Openings of clauses that only a type of document has, and how far they reach.
+TYPE_WINDOWS = {
+    "Bill": (("AMENDMENT", "Amendment Clause", r"\b(?:amend|insert|repeal)\b.{0,260}(?:\.|$)"),),
+    "Act": (
+        ("PENALTY", "Penalty", r"\b(?:shall be guilty|penalty|shall be liable)\b.{0,260}(?:\.|$)"),
+        ("REGISTRATION", "Registration", r"\b(?:register|registration|registered|certificate|certified extract)\b.{0,260}(?:\.|$)"),
+        ("OFFICER_POWER", "Officer Powers", r"\b(?:officer|minister|chief|magistrate)\b.{0,260}\b(?:may|shall|must|appoint|authori[sz]e|solemni[sz]e)\b.{0,180}(?:\.|$)"),
+    ),
+}
+CASE_WINDOW = ("CASE_NUMBER", "Case Number", r"\b(Case\sNo\.?|HC|SC|CCZ)\s*[:\-]?\s*[A-Z0-9\/\-]+\b")
+# Public bodies named in full.
+PUBLIC_BODIES = r"\b(Mining Commissioner(?:\s+[A-Z][A-Za-z]+){0,4}|Environmental Management Agency|Minister of [A-Z][A-Za-z\s]+|Registrar of Deeds|Master of the High Court|Zimbabwe Revenue Authority|Zimbabwe Electoral Commission|Zimbabwe Electoral Delimitation Commission|Zimbabwe Republic Police|Reserve Bank of Zimbabwe|National Prosecuting Authority|Judicial Service Commission)\b"
+# Rewriting in plain words, in this order.
+PLAIN_REWRITE = (
+    (r"\bthe applicant\b", "the party bringing the case", "i"), (r"\bthe respondent\b", "the other side", "i"), (r"\bapplicant\b", "the party bringing the case", "i"), (r"\brespondent\b", "the other side", "i"),
+    (r"\bplaintiff\b", "the person suing", "i"), (r"\bdefendant\b", "the person being sued", "i"), (r"\bcommenced\b", "started", "i"), (r"\bseeks to\b", "asks to", "i"), (r"\bsought to\b", "asked to", "i"),
+    (r"\bin terms of\b", "under", "i"), (r"\bpursuant to\b", "under", "i"), (r"\bthereof\b", "of it", "i"), (r"\bhereby\b", "", "i"), (r"\bshall\b", "must", "i"), (r"\bAccordingly,\s*", "As a result, ", ""),
+    (r"\bThe court found that\b", "The court decided that", "i"), (r"\bIt is ordered that\b", "The court ordered that", "i"), (r"\bIn the result\b", "In the end", "i"), (r"\bdispositive clause\b", "final order", "i"),
+    (r"\bEnvironmental Impact Assessment Certificate\b", "environmental approval certificate", "i"), (r"^According to\s+[^,]+,\s*", "", "i"),
+    (r"\bsection\s+\d+[A-Z]?(?:\([^)]+\))?(?:\s+of\s+the\s+[A-Z][A-Za-z\s]+Act)?\b", "the relevant legal rule", "i"),
+)
+# What a document of a type means in practice; the first type that the document's holds counts.
+IMPLICATIONS = {
+    "Court Judgment": "Parties should comply with the court order promptly. Any appeal or review step should be checked against the applicable Zimbabwean procedural rules and filing deadlines before enforcement action is taken.",
+    "Bill": "Review the clauses affected by the proposed amendments, identify institutional and constitutional changes, and assess operational impact if the bill is enacted. Legislative status, committee review, and final enacted wording should be confirmed before relying on the proposal.",
+    "Statutory Instrument": "Check the gazetted text, effective date, enabling Act, penalties, and any regulator guidance before relying on the instrument for compliance decisions.",
+    "Lease Agreement": "Both landlord and tenant should retain a signed copy. Note rent review dates, notice periods for termination, and permitted use clauses. Ensure the deposit is handled in accordance with the applicable rent regulations.",
+    "Employment Contract": "Confirm the start date, remuneration, leave, confidentiality, termination, and grievance provisions against current labour law before implementation.",
+    "Sale Agreement": "Confirm the purchase price, delivery or transfer conditions, warranties, risk allocation, and signing authority before completion.",
+    "Loan Agreement": "Check repayment dates, interest, security, default triggers, acceleration rights, and any consumer-credit or banking-law requirements before funds are advanced.",
+    "Shareholder Agreement": "Review voting rights, reserved matters, transfer restrictions, deadlock mechanisms, director appointment rights, and dividend provisions before shares are issued or transferred.",
+    "Power of Attorney": "Verify the donor, attorney, scope of authority, execution formalities, and whether the power remains valid for the intended transaction.",
+    "Will and Testament": "Confirm execution formalities, beneficiaries, executor appointment, revocation language, and any estate-planning risks with a qualified practitioner.",
+    "Contract Agreement": "Review the duties, payment terms, liability language, confidentiality provisions, and termination rights carefully before anyone signs or performs under the agreement.",
+    "Act": "Compliance with this legislation is mandatory. Note the commencement date, definitions, offences, penalties, and any transitional provisions, then confirm implementation requirements with the relevant regulator.",
+}
+IMPLICATION_ENVIRONMENT = "Confirm that no project implementation or mining activity begins before the required environmental approvals remain valid. Check certificate conditions, rehabilitation duties, and any regulator-imposed timelines before proceeding."
+IMPLICATION_OTHER = "This document should be reviewed carefully by a qualified Zimbabwean legal practitioner. Time limits, compliance steps, and procedural risks may apply."
+ENVIRONMENT = r"\b(environmental impact assessment|eiac|environmental management agency)\b"
+# What a summary may lack.
+MISSING = {
+    "case": "Case number or neutral citation is not confidently extracted.", "date": "Document date is missing or could not be matched to the extracted text.", "court": "Court or jurisdiction is not clearly identified.",
+    "parties": "Parties were not clearly identified from the extracted text.", "outcome": "Dispositive outcome is not expressly stated in the extracted text.", "dates": "No date entities were confidently extracted.",
+}
+# What to do next; the first has a page.
+ACTIONS = {
+    "deadline": "Review the quoted deadline on page %s and calendar it immediately.", "judgment": "Verify the dispositive paragraph against the full judgment before relying on the outcome.",
+    "contract": "Review the highlighted obligations and risky clauses with the responsible party before execution or performance.",
+    "legislation": "Check whether the legislative text is still current and whether any later amendment changed the quoted provisions.", "none": "Confirm the extracted evidence against the original document before sharing or acting on the summary.",
+}
+CONTRACT_WORDS, LEGISLATION_WORDS = r"\b(contract|agreement|lease|employment|loan)\b", r"\bbill|statute|act\b"
+# Results of cases, read in lower case.
+CASE_RESULTS = {
+    "Appeal dismissed": r"appeal[^.]{0,80}dismissed|dismissed[^.]{0,80}appeal", "Judgment upheld": r"judgment[^.]{0,40}upheld|upheld[^.]{0,40}judgment", "Application granted": r"application[^.]{0,60}granted|granted[^.]{0,60}application",
+    "Applicant ordered to pay costs": r"applicant[^.]{0,60}pay costs|costs[^.]{0,40}applicant", "Respondent ordered to pay costs": r"respondent[^.]{0,60}pay costs|costs[^.]{0,40}respondent",
+    "Sentence imposed": r"sentence[^.]{0,80}(imprisonment|years|months|fine)|imprisoned|sentenced",
+}
+AWARDS = (r"\b(compensation(?: of)?\s+(?:USD|US\$|ZWL|\$)?\s?[\d,]+(?:\.\d{2})?)\b", r"\b(damages(?: of)?\s+(?:USD|US\$|ZWL|\$)?\s?[\d,]+(?:\.\d{2})?)\b", r"\b(awarded\s+(?:USD|US\$|ZWL|\$)?\s?[\d,]+(?:\.\d{2})?)\b")
+SENTENCES_IMPOSED = (r"\b(sentenced to [^.]{3,120})\b", r"\b(imprison(?:ment|ed)[^.]{3,120})\b", r"\b(fined [^.]{3,120})\b")
+# What references stand in statements of principle.
+PRINCIPLE_REFERENCES = (r"\b(Section\s+\d+[A-Za-z]?(?:\([^)]+\))?(?:\s+of\s+the\s+[A-Z][A-Za-z\s]+)?(?:\s+Constitution)?)\b", r"\b(Chapter\s+\d{1,2}:\d{2})\b", r"\b([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){0,5}\s+Act(?:\s+Chapter\s+\d{1,2}:\d{2})?)\b")
+# What a summary of legislation must not say, and must.
+SUMMARY_ISSUES = {
+    "uses court-case framing": r"\b(main facts|court reasoned|court found|in everyday terms, the result|what happened|final ruling|facts are that)\b",
+    "uses dispute-party language": r"\b(applicant|respondent|plaintiff|defendant|accused|deceased)\b", "misclassifies legislative subject as contract breach": r"\bbreach of contract\b",
+}
+SUMMARY_EFFECT = r"\b(act|bill|statutory instrument|law|legislation|rules|provisions|requires|allows|regulates|duties|powers|offence|penalty|registration|register)\b"
+SUMMARY_NO_EFFECT = "does not explain legislative rules or legal effect"
+DOCTRINE_WORDS = r"\b(clarifies|outlines|requirements?|complete defence|partial defence|burden of proof|reasonable possibility|must be|the court emphasizes|legal principle|the prosecution bears)\b"
+CASE_TERMS = "deceased complainant convicted acquitted sentenced dismissed granted ordered".split()
+JARGON = r"\b(applicant|respondent|plaintiff|defendant|pursuant|thereof|hereby|constitutional|jurisdiction|statute|labour act|dispositive|procedural|relief|affidavit|interdict)\b"
+USEFUL_OUTCOME = r"\b(?:dismissed|granted|allowed|upheld|set aside|refused|convicted|acquitted|sentenced|ordered|award|appeal|application|judgment)\b"
+NO_SENTENCE = r"^(?:none|n\/a|not stated|unknown|with costs|costs)\.?$"
+SENTENCE_VERB = r"\b(?:is|are|was|were|be|being|been|has|have|had|must|may|shall|will|can|could|should|would|concerns|states|sets|requires|allows|prohibits|creates|explains|shows|finds|found|held|ordered|dismissed|granted|refused|upheld|allowed|convicted|acquitted|sentenced|affects|means|applies|provides)\b"
+# Kinds of a heading alone, read in lower case.
+HEADING_KINDS = {
+    "DEFINITION": r"definition|interpretation", "ORDER_OR_REMEDY": r"order|remed", "DUTY_OR_POWER": r"obligation|duty|duties|powers", "CONTRACT_CLAUSE": r"termination|liability|indemnity|confidentiality",
+    "OFFENCE_OR_PENALTY": r"offence|penalt|fine|sentence", "JURISDICTION": r"jurisdiction|governing law|court",
+}
+OBLIGATION_TERMS = ("shall", "must", "required", "undertake", "entitled", "prohibited")

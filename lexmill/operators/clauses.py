@@ -43,11 +43,16 @@ def headed(df: DataFrame, key: str, text: str) -> DataFrame:
     return out.select(key, "seq", clause_type(F.concat_ws(" ", "heading", "content")).alias("clause_type"), "heading", "content")
 
 
-def by_pattern(df: DataFrame, key: str, text: str) -> DataFrame:
+def by_pattern(df: DataFrame, key: str, text: str, doc_type: str | None = None) -> DataFrame:
+    """Clauses by their openings, those of every document first, then those of its type."""
     def shaped(kind: str, heading: str):
         return lambda m: F.struct(F.lit(kind).alias("clause_type"), F.lit(heading).alias("heading"), squeeze(m).alias("content"))
 
-    parts = [F.transform(all_of(F.col(text), p, "iu"), shaped(t, h)) for t, h, p in WINDOWS]
+    t, h, p = L.CASE_WINDOW
+    parts = [F.transform(all_of(F.col(text), p, "u"), shaped(t, h))] + [F.transform(all_of(F.col(text), p, "iu"), shaped(t, h)) for t, h, p in WINDOWS]
+    for kind, windows in L.TYPE_WINDOWS.items() if doc_type else ():
+        own = F.col(doc_type).isin(kind, "Statutory Instrument") if kind == "Act" else F.col(doc_type) == kind
+        parts += [F.when(own, F.transform(all_of(F.col(text), p, "iu"), shaped(t, h))).otherwise(F.array().cast("array<struct<clause_type:string,heading:string,content:string>>")) for t, h, p in windows]
     return df.select(key, F.posexplode(F.concat(*parts)).alias("seq", "c")).select(key, "seq", "c.clause_type", "c.heading", "c.content").filter("content <> ''")
 
 
@@ -76,7 +81,7 @@ def trimmed(content: Column) -> Column:
 def merged(df: DataFrame, key: str, text: str, sentences: str, doc_type: str) -> DataFrame:
     """(key, rank, clause_type, heading, content): headed, patterned and provision clauses in that order, the first of each
     fingerprint (28 words of heading and content), at most eight a document."""
-    every = headed(df, key, text).withColumn("source", F.lit(0)).unionByName(by_pattern(df, key, text).withColumn("source", F.lit(1))).unionByName(provisions(df, key, sentences, doc_type).withColumn("source", F.lit(2)))
+    every = headed(df, key, text).withColumn("source", F.lit(0)).unionByName(by_pattern(df, key, text, doc_type).withColumn("source", F.lit(1))).unionByName(provisions(df, key, sentences, doc_type).withColumn("source", F.lit(2)))
     every = every.withColumn("content", trimmed(F.col("content"))).filter("heading <> '' and length(content) >= 20")
     words = F.filter(F.split(F.lower(F.regexp_replace(F.concat_ws(" ", "heading", "content"), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
     every = every.withColumn("fp", F.array_join(F.slice(words, 1, 28), " "))

@@ -198,6 +198,11 @@ def json_list(x: Column) -> Column:
     return F.coalesce(F.from_json(x, "array<string>"), F.array().cast("array<string>"))
 
 
+def json_or_text(x: Column) -> Column:
+    """A JSON list of strings; any other text is a list of itself."""
+    return F.coalesce(F.from_json(x, "array<string>"), F.array(x))
+
+
 def glossary(terms: DataFrame, wanted: str) -> DataFrame:
     """Terms whose name or meaning contains the wanted text, by name."""
     low = wanted.lower()

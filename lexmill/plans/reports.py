@@ -10,7 +10,7 @@ from lexmill.functions import extract as X
 from lexmill.functions import lexicons as L
 from lexmill.functions import text as T
 from lexmill.operators import clauses, evidence, keywords, learned, payload, relational, report, rouge, search
-from lexmill.session import spread, table
+from lexmill.session import cut, spread, table
 
 from . import ansi as A
 from .analysis import analyse, documents, typed, with_sentences, with_tokens
@@ -265,14 +265,15 @@ def document_analysis(spark, d):
 
 
 def _tfidf(spark, d):
-    x = with_tokens(with_sentences(_docs(spark, d)))
+    # four branches read the prepared texts
+    x = cut(with_tokens(with_sentences(_docs(spark, d))).select("id", "sentences", "tokens"))
     return keywords.tfidf(x, "id", "sentences", "tokens")
 
 
 def _keywords(spark, d):
     """The keywords of each document, by all steps of the score: the learned terms it holds and, in legislation, its opening
     phrases are added. ``tfidf_topk`` stops before these, as its SQL."""
-    x = typed(with_tokens(with_sentences(_docs(spark, d))))
+    x = cut(typed(with_tokens(with_sentences(_docs(spark, d)))))
     taught = learned.boosts(x, "id", "text", learned.model(_examples(spark, d)))
     opening = keywords.opening_boosts(x.filter(C.legislative(F.col("doc_type"))), "id", "text")
     return keywords.tfidf(x, "id", "sentences", "tokens", boosts=(taught, opening))
@@ -352,7 +353,7 @@ def headed_clauses(spark, d):
 
 @query()
 def clause_dedupe(spark, d):
-    x = typed(with_sentences(_docs(spark, d)))
+    x = cut(typed(with_sentences(_docs(spark, d))))
     return clauses.merged(x, "id", "text", "sentences", "doc_type")
 
 
@@ -592,11 +593,11 @@ def events_daily_window(spark, d):
     return e.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("""WITH j AS (SELECT id, CASE WHEN json_valid(parties) AND json_type(parties) = 'ARRAY' THEN CAST(parties AS VARCHAR[]) ELSE [] END AS p FROM summaries WHERE parties IS NOT NULL AND starts_with(trim(parties), '[')), u AS (SELECT id, generate_subscripts(p, 1) AS o, trim(regexp_replace(UNNEST(p), '\\s+', ' ', 'g')) AS v FROM j), m AS (SELECT id, lower(v) AS k, min(o) AS o, arg_min(v, o) AS v FROM u WHERE v <> '' GROUP BY id, lower(v)), r AS (SELECT id, v, row_number() OVER (PARTITION BY id ORDER BY o) AS n FROM m) SELECT id, CAST(n AS BIGINT) AS entity_no, v AS entity FROM r WHERE n <= 8""")
+@query("""WITH j AS (SELECT id, CASE WHEN json_valid(parties) AND json_type(parties) = 'ARRAY' THEN CAST(parties AS VARCHAR[]) ELSE [parties] END AS p FROM summaries WHERE parties IS NOT NULL AND trim(parties) <> ''), u AS (SELECT id, generate_subscripts(p, 1) AS o, trim(regexp_replace(UNNEST(p), '\\s+', ' ', 'g')) AS v FROM j), m AS (SELECT id, lower(v) AS k, min(o) AS o, arg_min(v, o) AS v FROM u WHERE v <> '' GROUP BY id, lower(v)), r AS (SELECT id, v, row_number() OVER (PARTITION BY id ORDER BY o) AS n FROM m) SELECT id, CAST(n AS BIGINT) AS entity_no, v AS entity FROM r WHERE n <= 8""")
 def entity_union_distinct(spark, d):
-    s = table(spark, d, "summaries").select("id", "parties").filter("parties is not null and startswith(trim(parties), '[')")
+    s = table(spark, d, "summaries").select("id", "parties").filter("parties is not null and trim(parties) <> ''")
     none = F.array().cast("array<string>")
-    x = s.select("id", relational.entities_involved(none, none, relational.json_list(F.col("parties"))).alias("e"))
+    x = s.select("id", relational.entities_involved(none, none, relational.json_or_text(F.col("parties"))).alias("e"))
     return x.select("id", F.posexplode("e").alias("i", "entity")).select("id", (F.col("i") + 1).cast("long").alias("entity_no"), "entity")
 
 
