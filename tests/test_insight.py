@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from lexmill.functions import lexicons as L
 from lexmill.operators import clauses, evidence, insight
 
-NONE = F.array().cast("array<string>")
+def none():
+    return F.array().cast("array<string>")
 
 
 def one(spark, *cols):
@@ -22,7 +23,7 @@ def test_plain_rewrite(spark):
 
 def test_missing_and_actions(spark):
     null = F.lit(None).cast("string")
-    got = one(spark, insight.missing_information(F.lit("Court Judgment"), null, null, F.lit(""), NONE, F.lit(L.OUTCOME_UNKNOWN), NONE).alias("a"), insight.missing_information(null, null, F.lit("1 May"), null, NONE, null, F.array(F.lit("x"))).alias("b"))
+    got = one(spark, insight.missing_information(F.lit("Court Judgment"), null, null, F.lit(""), none(), F.lit(L.OUTCOME_UNKNOWN), none()).alias("a"), insight.missing_information(null, null, F.lit("1 May"), null, none(), null, F.array(F.lit("x"))).alias("b"))
     assert got.a == list(L.MISSING.values()) and got.b == []
     pages = F.array(F.lit(2), F.lit(2), F.lit(3))
     got = one(spark, insight.actions(F.lit("Lease Agreement"), null, pages).alias("a"), insight.actions(null, null, F.lit(None).cast("array<int>")).alias("b"))
@@ -31,7 +32,7 @@ def test_missing_and_actions(spark):
 
 def test_cards(spark):
     text = F.lit("The appeal was dismissed.\nHe was sentenced to five years. She was awarded USD 1,200.50 in damages of USD 50.")
-    cards = lambda kind: [(c.title, c["items"]) for c in one(spark, insight.result_cards(text, F.lit(kind), F.lit(""), NONE, NONE, F.array(F.lit("Pay.")), F.array(F.lit("Section 1"))))[0]]
+    cards = lambda kind: [(c.title, c["items"]) for c in one(spark, insight.result_cards(text, F.lit(kind), F.lit(""), none(), none(), F.array(F.lit("Pay.")), F.array(F.lit("Section 1"))))[0]]
     assert cards("Court Judgment") == [("Case Result", ["Appeal dismissed", "Sentence imposed"]), ("Compensation Awarded", ["damages of USD 50.", "awarded USD 1,200.50."]), ("Sentence Imposed", ["sentenced to five years."])]
     assert cards("Act") == [("Operative Provisions", ["Pay."]), ("Legal References", ["Section 1"])]
     assert one(spark, insight.case_results(F.lit(""), F.lit("Nothing was said ;")))[0] == ["Nothing was said."]
