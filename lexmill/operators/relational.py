@@ -181,11 +181,16 @@ def progress(documents: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def throttle(events: DataFrame, user: str, when: str, failed: Column, limit: int = 5, window_s: int = 7200) -> DataFrame:
-    """Events with the failures of the same user within the window before, and whether they lock the user."""
-    t = F.unix_seconds(F.col(when).cast("timestamp"))
-    w = Window.partitionBy(user).orderBy("_t").rangeBetween(-window_s, 0)
-    x = events.withColumn("_t", t).withColumn("failures", F.count_if(failed).over(w))
-    return x.withColumn("locked", F.col("failures") >= limit).drop("_t")
+    """Events with the failures of the same user within the window before, and whether they lock the user. A user's events
+    are parted by stretches of twelve windows, so a user with a third of all events is many partitions; the failures of a
+    stretch's last window also stand in the next one, where they are counted but not given."""
+    span = 12 * window_s
+    x = events.withColumn("_t", F.unix_seconds(F.col(when).cast("timestamp"))).withColumn("_failed", failed)
+    x = x.withColumn("_part", F.floor(F.col("_t") / span)).withColumn("_own", F.lit(True))
+    late = x.filter(F.col("_failed") & (F.floor((F.col("_t") + window_s) / span) > F.col("_part"))).withColumn("_part", F.col("_part") + 1).withColumn("_own", F.lit(False))
+    w = Window.partitionBy(user, "_part").orderBy("_t").rangeBetween(-window_s, 0)
+    x = x.unionByName(late).withColumn("failures", F.count_if("_failed").over(w)).filter("_own")
+    return x.withColumn("locked", F.col("failures") >= limit).drop("_t", "_failed", "_part", "_own")
 
 
 def entities_involved(people: Column, organisations: Column, parties: Column, n: int = 8) -> Column:

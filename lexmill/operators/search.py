@@ -88,18 +88,24 @@ def snippet(text: Column, query: str, width: int = 260, lead: int = 110) -> Colu
     return F.when(at > 0, F.substring(text, F.greatest(F.lit(1), at - lead), F.lit(width)))
 
 
-def dense_top(vectors: DataFrame, key: str = "vec_id", col: str = "embedding", k: int = 5, step: int = 50) -> DataFrame:
+SLICE_ROWS, BLOCK_ROWS = 50_000, 10_000  # vectors that meet in one task: of all rows, and of the queries
+
+
+def dense_top(vectors: DataFrame, key: str = "vec_id", col: str = "embedding", k: int = 5, step: int = 50, slice_rows: int = SLICE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, neighbour_id, similarity): of every vector whose key is divisible by ``step``, its ``k`` nearest of
     all vectors. The stated query set goes over the rows in blocks: queries are gathered into blocks of vectors, and each block meets
     each slice of rows once, in a matrix product that keeps only ``k`` rows a query, so what is shuffled is bounded by
-    queries times slices."""
+    queries times slices. There are as many slices and blocks as the rows ask for."""
     import numpy as np
     import pandas as pd
 
     base = vectors.select(F.col(key).alias("id"), F.col(col).alias("v")).filter("v is not null")
-    slices = 16
-    rows = base.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(slices)))
-    queries = base.filter(f"id % {step} = 0").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    n = base.count()
+    slices, blocks = max(16, -(-n // slice_rows)), max(1, -(-n // step // block_rows))
+    part = lambda of: F.pmod(F.xxhash64("id"), F.lit(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    rows = base.withColumn("s", part(slices)).withColumn("b", every(blocks))
+    queries = base.filter(f"id % {step} = 0").withColumn("b", part(blocks)).withColumn("s", every(slices))
 
     def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -118,6 +124,6 @@ def dense_top(vectors: DataFrame, key: str = "vec_id", col: str = "embedding", k
 
     from pyspark.sql import Window
 
-    got = queries.groupBy("s").cogroup(rows.groupBy("s")).applyInPandas(near, "query_id long, neighbour_id long, similarity double")
+    got = queries.groupBy("s", "b").cogroup(rows.groupBy("s", "b")).applyInPandas(near, "query_id long, neighbour_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbour_id")
     return got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "similarity")

@@ -34,12 +34,8 @@ def latest_progress(path: str) -> Callable[[DataFrame, int], None]:
     def sink(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         new = batch.select("document_id", "status", F.greatest(F.lit(0), F.least(F.lit(100), F.col("progress"))).alias("progress"), "updated_at")
-        try:
-            old = spark.read.parquet(f"{path}/batch={n - 1}")
-        except Exception as e:
-            if n and "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = new.limit(0)
+        # only the first batch has none before it; a folder that is missing later is lost state, and an error
+        old = spark.read.parquet(f"{path}/batch={n - 1}") if n else new.limit(0)
         both = old.unionByName(new)
         last = both.groupBy("document_id").agg(F.max_by(F.struct("status", "progress", "updated_at"), F.struct("updated_at", "progress")).alias("s")).select("document_id", "s.*")
         last.write.mode("overwrite").parquet(f"{path}/batch={n}")
