@@ -352,3 +352,13 @@ HEADING_KINDS = {
     "OFFENCE_OR_PENALTY": r"offence|penalt|fine|sentence", "JURISDICTION": r"jurisdiction|governing law|court",
 }
 OBLIGATION_TERMS = ("shall", "must", "required", "undertake", "entitled", "prohibited")
+# What is taken off a sentence for a summary, in this order; then what outer characters go.
+SUMMARY_SENTENCE = (
+    (r"\[(?:Chapter\s*)?([0-9]{1,2}:[0-9]{2})\]", " Chapter $1 ", "i"), (r"\b(subsections?|paragraphs?|sections?)\s*(?:\(\s*[0-9]+[A-Za-z]?\s*\)\s*(?:,|and|or)?\s*)+", "$1 ", "i"), (r"\(\s*[0-9]+[A-Za-z]?\s*\)", "", ""),
+    (r"^\s*[0-9]+[A-Za-z]?(?:\.[0-9]+)*[.)-]?\s*", "", ""), (r",([^\s])", ", $1", ""), (r"\s+", " ", ""), (r"^[ \t\n\r\x{00}\x{0B},;:\-]+|[ \t\n\r\x{00}\x{0B},;:\-]+$", "", ""),
+    (r"^\d+(?:\.\d+)?\s+", "", ""), (r"\bPAGE\s+\d+\b", "", "i"), (r"""^[ \t\n\r\x{00}\x{0B}"']+|[ \t\n\r\x{00}\x{0B}"']+$""", "", ""), (r";+$", "", ""),
+)
+# What is mended in prose, in this order, and labels that a sentence loses.
+PROSE = ((r"\bPAGE\s+\d+\b", " ", "i"), (r"\s+([,.;:!?])", "$1", ""), (r"([,.;:!?])([^\s,.;:!?])", "$1 $2", ""), (r"\s+", " ", ""))
+PROSE_LABEL = r"^\s*(?:Summary|Document Overview|What Happened|Facts|Legal Issues|Holding\s*\/\s*Decision|Decision\s*\/\s*Outcome|What This Means|Ratio Decidendi|Orders\s*\/\s*Remedies)\s*[:\-]\s*"
+PROSE_OUTER = r"""^[ \t\n\r\x{00}\x{0B}"'`*_,\-;:]+|[ \t\n\r\x{00}\x{0B}"'`*_,\-;:]+$"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import lexicons as L
 from lexmill.functions.classify import legislative
 from lexmill.functions.extract import stopped
-from lexmill.functions.rx import all_of, capped, count, distinct_ci, has, let, squeeze, sub
+from lexmill.functions.rx import all_of, capped, count, distinct_ci, has, let, squeeze
 
 from .evidence import best_match
 
@@ -20,14 +20,6 @@ def _text(x: Column) -> Column:
     return F.coalesce(x, F.lit(""))
 
 
-def plain_rewrite(x: Column) -> Column:
-    """A sentence in plain words: the replacements one after another, white space squeezed, one full stop at the end."""
-    x = squeeze(_text(x))
-    for pattern, to, flags in L.PLAIN_REWRITE:
-        x = sub(x, pattern, to, flags + "u")
-    return F.when(squeeze(x) == "", "").otherwise(stopped(x))
-
-
 def implications(text: Column, doc_type: Column) -> Column:
     kind = F.lower(_text(doc_type))
     out = F.when((_text(doc_type) != "Court Judgment") & has(_text(text), L.ENVIRONMENT, "i"), L.IMPLICATION_ENVIRONMENT)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import classify as C
 from lexmill.functions import extract as X
 from lexmill.functions import lexicons as L
-from lexmill.operators import evidence, insight, payload, relational, report, rouge
+from lexmill.operators import evidence, insight, payload, prose, relational, report, rouge
 from lexmill.session import cut, table
 
 from . import ansi as A
@@ -25,18 +25,32 @@ def _rows(df, col, no):
     return df.select("id", F.posexplode(col).alias("i", "v")).select("id", (F.col("i") + 1).cast("long").alias(no), F.col("v"))
 
 
-def _fold(x: str) -> str:
-    for pattern, to, flags in L.PLAIN_REWRITE:
-        x = A.gsub(x, pattern, to, flags)
+def _fold(x: str, steps) -> str:
+    for pattern, to, flags in steps:
+        x = A.gsub(x, pattern, to.replace("$1", "\\1"), flags)
     return x
 
 
-_SQ = A.squeeze(_fold(A.squeeze("coalesce(executive_summary, '')")))
+def _said(name: str, source: str, x: str) -> str:
+    """A step of SQL: ``x`` of ``source`` without numbering and outer marks, with a stop and a capital."""
+    return f"{name}a AS (SELECT id, {_fold(A.squeeze(x), L.SUMMARY_SENTENCE)} AS x FROM {source}), {name}b AS (SELECT id, CASE WHEN x = '' OR regexp_matches(x, '[.!?]$') THEN x ELSE x || '.' END AS x FROM {name}a), {name} AS (SELECT id, upper(substr(x, 1, 1)) || substr(x, 2) AS x FROM {name}b)"
 
 
-@query(f"SELECT id, CASE WHEN {_SQ} = '' THEN '' ELSE regexp_replace({_SQ}, '[ \\t\\n\\r.;]+$', '') || '.' END AS plain FROM summaries")
+@query(f"WITH {_said('u', 'summaries', 'executive_summary')}, v AS (SELECT id, {A.squeeze(_fold('x', L.PLAIN_REWRITE))} AS x FROM u WHERE x IS NOT NULL), {_said('w', 'v', 'x')} SELECT id, x AS plain FROM w")
 def plain_rewrite(spark, d):
-    return _summaries(spark, d, "executive_summary").select("id", insight.plain_rewrite(F.col("executive_summary")).alias("plain"))
+    return _summaries(spark, d, "executive_summary").filter("executive_summary is not null").select("id", prose.plain_rewrite(F.col("executive_summary")).alias("plain"))
+
+
+@query()
+def polished_summaries(spark, d):
+    s = _summaries(spark, d, "professional_summary", "outcome")
+    return s.select("id", prose.polish(F.col("professional_summary"), 300).alias("professional_summary"), prose.polish(F.col("outcome"), 120, 3).alias("outcome"))
+
+
+@query()
+def condensed_findings(spark, d):
+    s = _summaries(spark, d, "professional_summary").filter("professional_summary is not null")
+    return s.select("id", prose.condense(F.split("professional_summary", r"(?<=[.!?])(?U)\s+")).alias("findings"))
 
 
 _IMPLIED = " ".join(f"WHEN contains(lower(coalesce(document_type, '')), {A.q(k.lower())}) THEN {A.q(v)}" for k, v in L.IMPLICATIONS.items())

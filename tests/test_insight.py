@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from lexmill.functions import lexicons as L
-from lexmill.operators import clauses, evidence, insight
+from lexmill.operators import clauses, evidence, insight, prose
 
 def none():
     return F.array().cast("array<string>")
@@ -16,9 +16,19 @@ def one(spark, *cols):
 
 
 def test_plain_rewrite(spark):
-    said = "According to the clerk, the applicant shall pay pursuant to section 12(a) of the Roads Act.;"
-    assert one(spark, insight.plain_rewrite(F.lit(said)))[0] == "the party bringing the case must pay under the relevant legal rule."
-    assert one(spark, insight.plain_rewrite(F.lit(None).cast("string")), insight.plain_rewrite(F.lit(" ")))[:] == ("", "")
+    said = '"3. According to the clerk, the applicant shall pay pursuant to section 12 of the Roads Act;'
+    assert one(spark, prose.plain_rewrite(F.lit('According to the clerk, the applicant shall pay pursuant to section 12 of the Roads Act;')))[0] == "The party bringing the case must pay under the relevant legal rule."
+    assert one(spark, prose.summary_sentence(F.lit(said.removeprefix('"'))))[0] == "According to the clerk, the applicant shall pay pursuant to section 12 of the Roads Act."
+    assert one(spark, prose.plain_rewrite(F.lit(None).cast("string")), prose.plain_rewrite(F.lit(" ")))[:] == ("", "")
+
+
+def test_prose(spark):
+    text = "Facts: the roof was broken by rain .The roof was broken by rain. Costs. PAGE 3 the landlord must mend the roof of the house.."
+    assert one(spark, prose.polish(F.lit(text), 300))[0] == "The roof was broken by rain. The landlord must mend the roof of the house."
+    assert one(spark, prose.polish(F.lit(text), 10), prose.polish(F.lit("Only this"), 10), prose.polish(F.lit(None).cast("string"), 10))[:] == ("The roof was broken by rain.", "Only this.", "")
+    assert one(spark, prose.polish_list(F.array(F.lit("pay is due"), F.lit("Pay is due."), F.lit("n/a"))))[0] == ["Pay is due."]
+    found = F.array(*(F.lit(x) for x in ("1. The roof leaked.", "The roof leaked!", "Rain fell on the town", "", "The clerk slept", "Nobody came")))
+    assert one(spark, prose.condense(found), prose.condense(found, 3, 30))[:] == ("The roof leaked. Rain fell on the town. The clerk slept.", "The roof leaked. Rain fell on…")
 
 
 def test_missing_and_actions(spark):
