@@ -99,11 +99,13 @@ def weak(token: Column) -> Column:
 
 def title_case(x: Column) -> Column:
     """An upper-case name in title case, each run of letters for itself; other names stay."""
-    low = F.lower(x)
-    parts = all_of(low, r"[\p{L}\p{M}']+|[^\p{L}\p{M}']+", "u")
-    titled = F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1_000_000))), "")
-    titled = sub(sub(titled, r"\bOf\b", "of"), r"\bAnd\b", "and")
-    return F.when(x == F.upper(x), titled).otherwise(x)
+
+    def titled(x: Column) -> Column:
+        parts = all_of(F.lower(x), r"[\p{L}\p{M}']+|[^\p{L}\p{M}']+", "u")
+        out = F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1_000_000))), "")
+        return F.when(x == F.upper(x), sub(sub(out, r"\bOf\b", "of"), r"\bAnd\b", "and")).otherwise(x)
+
+    return let(x, titled)
 
 
 def pages(text: Column, box_markers: bool = False) -> Column:

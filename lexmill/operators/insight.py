@@ -12,8 +12,7 @@ from lexmill.functions import lexicons as L
 from lexmill.functions.classify import legislative
 from lexmill.functions.extract import stopped
 from lexmill.functions.rx import all_of, capped, count, distinct_ci, has, let, squeeze
-
-from .evidence import best_match
+from lexmill.functions.text import evidence_tokens
 
 
 def _text(x: Column) -> Column:
@@ -121,15 +120,23 @@ def heading_kind(heading: Column) -> Column:
 
 def entity_evidence(entities: DataFrame, sents: DataFrame, key: str) -> DataFrame:
     """(key, kind, value, quote, page): of each entity the first sentence that contains it, else the one that shares the most
-    words with it, else nulls. ``entities`` is (key, kind, value). Values meet the sentences that hold their first word, by
-    an equi-join, not all sentences; a value within words only is looked for in the words' best match."""
+    words with it, else nulls. ``entities`` is (key, kind, value). The values of a document meet its sentences as one list; a
+    value counts where its first word is a word of the sentence, one within words only is looked for in the words' best match.
+    ``sents`` is read several times, so it should be a table."""
     values = entities.filter("trim(value) <> ''").groupBy(key, "kind", F.lower(F.trim("value")).alias("low")).agg(F.min(F.trim("value")).alias("value"))
-    values = values.withColumn("item", F.concat_ws("|", "kind", "low")).withColumn("w", F.regexp_extract("low", r"[\p{L}\p{N}]+", 0))
-    words = sents.select(key, "no", "page", "sentence", F.explode(F.array_distinct(all_of(F.lower("sentence"), r"[\p{L}\p{N}]+"))).alias("w"))
-    held = values.join(words, [key, "w"]).filter(F.lower("sentence").contains(F.col("low"))).groupBy(key, "item").agg(F.min_by(F.struct("sentence", "page"), "no").alias("h"))
-    x = values.join(held, [key, "item"], "left")
-    best = best_match(x.filter("h is null").select(key, "item", F.col("value").alias("needle")), sents, key).select(key, "item", F.struct(F.col("quote").alias("sentence"), "page").alias("b"))
-    return x.join(best, [key, "item"], "left").select(key, "kind", "value", F.coalesce("h", "b").alias("e")).select(key, "kind", "value", F.col("e.sentence").alias("quote"), F.col("e.page").alias("page"))
+    values = values.withColumn("item", F.concat_ws("|", "kind", "low"))
+    one = F.struct("item", "low", F.regexp_extract("low", r"[\p{L}\p{N}]+", 0).alias("w"), evidence_tokens(F.col("value")).alias("nt"))
+    of = values.groupBy(key).agg(F.collect_list(one).alias("of"))
+    # the words of a sentence are looked at only where it contains the value
+    holds = lambda low, v: (v["w"] != "") & low.contains(v["low"]) & F.array_contains(all_of(low, r"[\p{L}\p{N}]+"), v["w"])
+    share = lambda v, st: F.when(F.size(v["nt"]) > 0, F.round(F.size(F.array_intersect(v["nt"], st)) / F.size(v["nt"]), 6)).otherwise(0.0)
+    score = lambda s, v: F.when(holds(s["low"], v), 2.0).otherwise(share(v, s["st"]))
+    scores = lambda s: F.filter(F.transform("of", lambda v: F.struct(v["item"].alias("item"), score(s, v).alias("score"))), lambda z: z["score"] > 0)
+    at = sents.join(of, key).select(key, "no", F.explode(let(F.struct(F.lower("sentence").alias("low"), evidence_tokens(F.col("sentence")).alias("st")), scores)).alias("z"))
+    at = at.groupBy(key, "z.item").agg(F.min(F.struct((-F.col("z.score")).alias("neg"), "no"))["no"].alias("no"))
+    # sentences are fetched by number; a key that two documents share has a number twice
+    e = at.join(sents, [key, "no"]).groupBy(key, "item").agg(F.min(F.struct("sentence", "page")).alias("e"))
+    return values.join(e, [key, "item"], "left").select(key, "kind", "value", F.col("e.sentence").alias("quote"), F.col("e.page").alias("page"))
 
 
 def latest(df: DataFrame, n: int) -> DataFrame:

@@ -8,7 +8,7 @@ from lexmill.functions import classify as C
 from lexmill.functions import extract as X
 from lexmill.functions import lexicons as L
 from lexmill.operators import evidence, insight, payload, prose, relational, report, rouge
-from lexmill.session import cut, table
+from lexmill.session import cut, table, written
 
 from . import ansi as A
 from . import reports as R
@@ -163,7 +163,7 @@ def rouge_report(spark, d):
 @query()
 def entity_quotes(spark, d):
     x = R._docs(spark, d).select("id", F.explode(F.concat(insight.unique_values("persons", X.persons(F.col("text"))), insight.unique_values("organisations", X.organisations(F.col("text"))), insight.unique_values("dates", X.dates(F.col("text"))))).alias("e")).select("id", "e.kind", "e.value")
-    return insight.entity_evidence(x, R._evidence(spark, d), "id")
+    return insight.entity_evidence(cut(x), written(R._evidence(spark, d), "evidence"), "id")
 
 
 @query()

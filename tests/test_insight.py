@@ -80,6 +80,21 @@ def test_entity_evidence_matches_brute_force(spark):
     assert evidence.best_match(spark.createDataFrame([], "id long, item string, needle string"), sents, "id").count() == 0
 
 
+def test_entity_quotes_reads_the_documents_once_for_each_side(spark, sf_dir):
+    from lexmill.plans import insights
+
+    got = insights.entity_quotes(spark, sf_dir)
+    assert "legal_documents" not in got._jdf.queryExecution().optimizedPlan().toString() and not any("legal_documents" in f for f in got.inputFiles())
+    assert got.count() == got.select("id", "kind", "value").distinct().count() > 1000
+
+
+def test_entity_evidence_of_a_repeated_key(spark):
+    sents = spark.createDataFrame([(1, 0, 1, "The clerk Ruva Moyo read it.")] * 2, "id long, no long, page int, sentence string")
+    values = spark.createDataFrame([(1, "persons", "Ruva Moyo"), (1, "persons", "clerk Moy"), (1, "persons", "lerk")], "id long, kind string, value string")
+    got = {r.value: r.quote for r in insight.entity_evidence(values, sents, "id").collect()}
+    assert got == {"Ruva Moyo": "The clerk Ruva Moyo read it.", "clerk Moy": "The clerk Ruva Moyo read it.", "lerk": None}
+
+
 def test_windows_by_type(spark):
     text = "Case No. HC 12/20 was heard. The minister may appoint an officer. Any person shall be liable to a penalty. Insert a new part."
     df = spark.createDataFrame([(1, text, "Act"), (2, text, "Bill"), (3, text, "Legal Document")], "id long, t string, k string")
