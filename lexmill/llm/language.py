@@ -1,9 +1,8 @@
 """The language of a text by its script, its function words and its letter trigrams.
 
 Other scripts than Latin are told by their letters. Among the languages in Latin letters the function words decide where one
-language has clearly more of them; otherwise letter trigrams do. The trigrams are trained on a bounded sample of the texts at
-hand (``SAMPLE_ROWS`` rows, a fit sample only; every text is judged): texts whose function words are clear teach the trigrams
-of their language, which then tell texts of too few function words, and languages that join many words into one. Without
+language has clearly more of them; otherwise letter trigrams do. The trigrams are trained on all texts at hand: texts whose
+function words are clear teach the trigrams of their language, which then tell texts of too few function words, and languages that join many words into one. Without
 training the function words alone decide.
 """
 
@@ -12,14 +11,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-SAMPLE_ROWS, LEAST_TEXTS, LEAST_GRAMS, FLOOR = 3000, 3, 12, -1.0
+LEAST_TEXTS, LEAST_GRAMS, FLOOR = 3, 12, -1.0
 ELIDED = frozenset("l d qu n s c j m".split())  # French before an apostrophe
 # Frequent function words of the languages written in Latin letters.
 WORDS = {
@@ -104,23 +103,47 @@ def _trigrams(words: Counter) -> Counter:
     return out
 
 
-def train(texts: list[str]) -> dict[str, dict[str, float]]:
-    """By language the logarithms of its trigrams' shares, over how common they are in all languages together."""
-    by: dict[str, Counter] = {}
+def _counts(texts: Iterable[str]) -> Iterator[tuple[Counter, dict[str, Counter]]]:
+    """Of the texts with clear function words, by language: how many there are, and in how many of them each word stands. Given
+    out whenever there are many different words."""
     n_texts: Counter = Counter()
+    by: dict[str, Counter] = {}
     for text in texts:
         if not text or not (text.isascii() or _script(text) is None):
             continue
-        code = _clear(_hits(text))
-        if code:
+        if code := _clear(_hits(text)):
             n_texts[code] += 1
-            by.setdefault(code, Counter()).update(_trigrams(Counter(set(_WORD.findall(text.lower())))))
-    by = {code: c for code, c in by.items() if n_texts[code] >= LEAST_TEXTS}
-    sizes = {code: c.total() for code, c in by.items()}
+            of = by.setdefault(code, Counter())
+            of.update(set(_WORD.findall(text.lower())))
+            if len(of) > 200_000:
+                yield n_texts, by
+                n_texts, by = Counter(), {}
+    yield n_texts, by
+
+
+def _model(n_texts: dict[str, int], by: dict[str, dict[str, int]]) -> dict[str, dict[str, float]]:
+    """By language the logarithms of its trigrams' shares, over how common they are in all languages together."""
+    by = {code: c for code, c in sorted(by.items()) if n_texts[code] >= LEAST_TEXTS}
+    sizes = {code: sum(c.values()) for code, c in by.items()}
     seen = set().union(*by.values()) if by else set()
-    share = {code: {g: (c[g] + 0.5) / (sizes[code] + 0.5 * len(seen)) for g in seen} for code, c in by.items()}
-    mean = {g: sum(share[code][g] for code in by) / len(by) for g in seen}
-    return {code: {g: max(FLOOR, math.log(share[code][g] / mean[g])) for g in seen} for code in by}
+    out: dict[str, dict[str, float]] = {code: {} for code in by}
+    for g in seen:
+        share = {code: (c.get(g, 0) + 0.5) / (sizes[code] + 0.5 * len(seen)) for code, c in by.items()}
+        mean = sum(share.values()) / len(by)
+        for code in by:
+            out[code][g] = max(FLOOR, math.log(share[code] / mean))
+    return out
+
+
+def train(texts: list[str]) -> dict[str, dict[str, float]]:
+    """The trigrams of ``texts``."""
+    n_texts: Counter = Counter()
+    by: dict[str, Counter] = {}
+    for n, words in _counts(texts):
+        n_texts.update(n)
+        for code, c in words.items():
+            by.setdefault(code, Counter()).update(_trigrams(c))
+    return _model(n_texts, by)
 
 
 def detect(text: str | None, model: dict[str, dict[str, float]] | None = None) -> str | None:
@@ -144,12 +167,24 @@ def detect(text: str | None, model: dict[str, dict[str, float]] | None = None) -
     return top if top and score[top] > 0 else best
 
 
-def learn(texts: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, dict[str, float]]:
-    """The trigrams of ``texts(text)``, fitted on at most ``rows`` of them."""
-    n = texts.count()
-    # twice as many as asked for on average, so that the draw hardly falls short of them
-    some = texts.filter("text is not null").sample(min(1.0, 2 * rows / max(1, n)), 11).limit(rows)
-    return train([r.text for r in some.toLocalIterator()])
+def learn(texts: DataFrame) -> dict[str, dict[str, float]]:
+    """The trigrams of all ``texts(text)``, counted where they are; the driver gets their sums."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for n_texts, by in _counts(text for b in batches for text in b["text"]):
+            rows = [(code, "", n) for code, n in n_texts.items()] + [(code, g, n) for code, c in by.items() for g, n in _trigrams(c).items()]
+            if rows:
+                yield pd.DataFrame(rows, columns=["code", "gram", "n"])
+
+    sums = texts.select("text").mapInPandas(count, "code string, gram string, n long").groupBy("code", "gram").agg(F.sum("n").alias("n"))
+    n_texts: dict[str, int] = {}
+    by: dict[str, dict[str, int]] = {}
+    for code, gram, n in sums.toLocalIterator():
+        if gram:
+            by.setdefault(code, {})[gram] = n
+        else:
+            n_texts[code] = n
+    return _model(n_texts, by)
 
 
 def detector(model: dict[str, dict[str, float]]) -> Callable[[Column | str], Column]:

@@ -42,3 +42,12 @@ def test_no_labels_or_rows(spark):
     legal, summaries, labels = frames(spark)
     assert p7.found(legal, summaries, labels.limit(0)).count() == 0
     assert p7.levels(legal.limit(0), summaries.limit(0), labels).count() == 0
+
+
+def test_the_language_model_is_learned_from_every_text(spark):
+    from lexmill.llm import language
+
+    few = [f"De kantonrechter heeft het verzoek van de huurder niet aan de verhuurder gegeven en dat is nummer {i}." for i in range(4)]
+    texts = [f"The tenant has paid the rent to the owner of the house and that was receipt {i}." for i in range(8000)] + few
+    got, want = language.learn(spark.createDataFrame([(t,) for t in texts], "text string")), language.train(texts)
+    assert set(got) == set(want) == {"en", "nl"} and got == want
