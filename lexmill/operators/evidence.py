@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import lexicons as L
 from lexmill.functions.classify import passage_kind
-from lexmill.functions.rx import has, squeeze
+from lexmill.functions.rx import has, let, squeeze
 from lexmill.functions.text import evidence_sentences, evidence_tokens, pages
 
 PASSAGES, DEADLINES, RISKS = 6, 4, 5
@@ -50,20 +50,27 @@ def best_match(needles: DataFrame, sents: DataFrame, key: str, preferred: tuple[
 
 
 def passage_score(x: Column, terms: Column) -> Column:
-    low = F.lower(x)
-    by_terms = F.aggregate(F.filter(terms, lambda t: F.length(t) >= 4), F.lit(0.0), lambda a, t: a + F.when(low.contains(t), F.when(t.contains(" "), 1.3).otherwise(0.7)).otherwise(0.0))
-    cue = lambda words, v: reduce(add, (F.when(low.contains(w), v).otherwise(0.0) for w in words))
-    doctrine = F.when(has(low, L.DOCTRINE, "iu") & ~has(low, L.DOCTRINE_PARTY, "iu"), 1.0).otherwise(0.0)
-    return by_terms + cue(L.PASSAGE_OUTCOME, 0.55) + cue(L.PASSAGE_PARTY, 0.9) - doctrine
+    """``terms`` are those of four characters or more."""
+
+    def score(low: Column) -> Column:
+        by_terms = F.aggregate(terms, F.lit(0.0), lambda a, t: a + F.when(low.contains(t), F.when(t.contains(" "), 1.3).otherwise(0.7)).otherwise(0.0))
+        cue = lambda words, v: reduce(add, (F.when(low.contains(w), v).otherwise(0.0) for w in words))
+        doctrine = F.when(has(low, L.DOCTRINE, "iu") & ~has(low, L.DOCTRINE_PARTY, "iu"), 1.0).otherwise(0.0)
+        return by_terms + cue(L.PASSAGE_OUTCOME, 0.55) + cue(L.PASSAGE_PARTY, 0.9) - doctrine
+
+    return let(F.lower(x), score)
 
 
 def passages(df: DataFrame, key: str, text: str, terms: str) -> DataFrame:
     """(key, passage_id, page, score, kind, passage): paragraphs of 80 characters or more with a positive score."""
+    df = df.select(key, text, F.filter(terms, lambda t: F.length(t) >= 4).alias(terms))
     p = df.select(key, terms, F.posexplode(pages(F.col(text))).alias("pno", "p")).select(key, terms, "pno", F.col("p.page").alias("page"), F.posexplode(F.split("p.text", r"\n{2,}")).alias("no", "raw"))
-    p = p.select(key, "pno", "page", "no", squeeze(F.col("raw")).alias("passage"), terms).filter("length(passage) >= 80")
-    p = p.withColumn("score", F.round(passage_score(F.col("passage"), F.col(terms)), 3)).filter("score > 0")
+    p = p.select(key, "pno", "page", "no", F.col("raw"), terms)
+    scored = lambda x: F.when(F.length(x) >= 80, F.struct(x.alias("passage"), F.round(passage_score(x, F.col(terms)), 3).alias("score"), passage_kind(x).alias("kind")))
+    # made once for a paragraph, as one row each: a filter on what a projection makes would make it again
+    p = p.select(key, "pno", "page", "no", F.explode(F.transform(F.array(squeeze(F.col("raw"))), scored)).alias("z")).select(key, "pno", "page", "no", "z.passage", "z.score", "z.kind").filter("score > 0")
     w = Window.partitionBy(key).orderBy("pno", "no")
-    return p.withColumn("seq", F.row_number().over(w)).select(key, "seq", F.format_string("P%d-%d", "page", F.row_number().over(w)).alias("passage_id"), "page", "score", passage_kind(F.col("passage")).alias("kind"), "passage")
+    return p.withColumn("seq", F.row_number().over(w)).select(key, "seq", F.format_string("P%d-%d", "page", F.row_number().over(w)).alias("passage_id"), "page", "score", "kind", "passage")
 
 
 def balanced(found: DataFrame, key: str, n: int = PASSAGES) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,13 +40,24 @@ def model(examples: DataFrame, n: int = MODEL) -> DataFrame:
     return top.withColumn("k", F.lit(1)).join(F.broadcast(seen.withColumn("k", F.lit(1))), "k").drop("k")
 
 
+def held(terms_: list[str]):
+    """A column function: the places of the terms that a text contains. Python looks for a plain string several times faster than
+    a function of arrays does."""
+
+    @F.pandas_udf("array<int>")
+    def at(low: pd.Series) -> pd.Series:
+        return low.map(lambda x: [i for i, t in enumerate(terms_) if t in x])
+
+    return at
+
+
 def boosts(texts: DataFrame, key: str, text: str, learned: DataFrame) -> DataFrame:
     """(key, term, boost): learned terms that a text contains, weight by example held within 0.25 and 4. The model has at most
-    600 rows, so it travels to the texts as one array."""
-    m = learned.agg(F.array_sort(F.collect_list(F.struct("term", F.greatest(F.lit(0.25), F.least(F.lit(4.0), F.col("weight") / F.greatest(F.lit(1), F.col("examples_seen")))).alias("boost")))).alias("m")).withColumn("k", F.lit(1))
-    x = texts.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("low"), F.lit(1).alias("k")).join(F.broadcast(m), "k")
-    hit = F.filter("m", lambda e: F.col("low").contains(e["term"]))
-    return x.select(key, F.explode(hit).alias("e")).select(key, "e.term", F.round("e.boost", 4).alias("boost"))
+    600 rows, so it travels with the function that looks for its terms."""
+    m = learned.select("term", F.greatest(F.lit(0.25), F.least(F.lit(4.0), F.col("weight") / F.greatest(F.lit(1), F.col("examples_seen")))).alias("boost")).orderBy("term").collect()
+    at = held([r.term for r in m])(F.lower(F.coalesce(text, F.lit(""))))
+    e = F.array(*(F.struct(F.lit(r.term).alias("term"), F.lit(r.boost).alias("boost")) for r in m)) if m else F.lit(None).cast("array<struct<term:string,boost:double>>")
+    return texts.select(key, F.explode(at).alias("at")).join(F.broadcast(texts.sparkSession.range(1).select(F.posexplode(e).alias("at", "e"))), "at").select(key, "e.term", F.round("e.boost", 4).alias("boost"))
 
 
 def category_model(examples: DataFrame, n: int = PER_CATEGORY) -> DataFrame:
@@ -59,11 +71,16 @@ def category_model(examples: DataFrame, n: int = PER_CATEGORY) -> DataFrame:
 
 def categories(texts: DataFrame, key: str, text: str, model_: DataFrame, n: int = CATEGORIES) -> DataFrame:
     """(key, category, score, rank): at most ``n`` areas of law whose terms in the text weigh 2 or more together; ties by name. The
-    model has at most 80 rows a category, so it travels as one array."""
-    per = model_.groupBy("category").agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
-    m = per.agg(F.array_sort(F.collect_list(F.struct("category", "terms"))).alias("m")).withColumn("k", F.lit(1))
-    x = texts.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("low"), F.lit(1).alias("k")).join(F.broadcast(m), "k")
-    total = lambda e: F.aggregate(F.filter(e["terms"], lambda t: F.col("low").contains(t["term"])), F.lit(0.0), lambda a, t: a + t["weight"])
-    scored = x.select(key, F.explode(F.transform("m", lambda e: F.struct(e["category"].alias("category"), F.round(total(e), 4).alias("score")))).alias("e")).select(key, "e.category", "e.score").filter("score >= 2.0")
+    model has at most 80 rows a category, so it travels with the function that looks for its terms."""
+    m = model_.select("category", "term", "weight").orderBy("category", "term").collect()
+    of: dict[str, list[tuple[str, float]]] = {}
+    for r in m:
+        of.setdefault(r.category, []).append((r.term, r.weight))
+
+    @F.pandas_udf("array<struct<category:string,score:double>>")
+    def totals(low: pd.Series) -> pd.Series:
+        return low.map(lambda x: [{"category": c, "score": float(sum(w for t, w in ts if t in x))} for c, ts in of.items()])
+
+    scored = texts.select(key, F.explode(totals(F.lower(F.coalesce(text, F.lit(""))))).alias("e")).select(key, "e.category", F.round("e.score", 4).alias("score")).filter("score >= 2.0")
     w = Window.partitionBy(key).orderBy(F.desc("score"), "category")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)

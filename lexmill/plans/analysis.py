@@ -29,10 +29,10 @@ def typed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_type", let(C.type_scores(F.col("text"), F.col("filename")), lambda z: C.document_type(z["scores"], z["titles"])))
 
 
-def analyse(legal: DataFrame, keywords: DataFrame | None = None, taught: DataFrame | None = None) -> DataFrame:
-    """One row of results per document; columns that aren't selected are pruned with what they need. ``keywords`` (id, rank,
-    term) speak for issues, and ``taught`` (id, category, rank) are areas of law after those of the patterns."""
-    x = typed(with_tokens(with_sentences(documents(legal))))
+def analysed(x: DataFrame, keywords: DataFrame | None = None, taught: DataFrame | None = None) -> DataFrame:
+    """One row of results per document, of typed documents with sentences and tokens; columns that aren't selected are pruned
+    with what they need. ``keywords`` (id, rank, term) speak for issues, and ``taught`` (id, category, rank) are areas of law
+    after those of the patterns."""
     x = x.withColumn("categories", C.categories(F.col("text")))
     none = F.array().cast("array<string>")
     listed = lambda df, col: df.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", col))), lambda r: r[col]).alias("listed"))

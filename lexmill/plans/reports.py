@@ -10,10 +10,11 @@ from lexmill.functions import extract as X
 from lexmill.functions import lexicons as L
 from lexmill.functions import text as T
 from lexmill.operators import clauses, evidence, keywords, learned, payload, relational, report, rouge, search
-from lexmill.session import cut, spread, table
+from lexmill.functions.rx import let
+from lexmill.session import cut, spread, table, written
 
 from . import ansi as A
-from .analysis import analyse, documents, typed, with_sentences, with_tokens
+from .analysis import analysed, documents, typed, with_sentences, with_tokens
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -237,11 +238,16 @@ def court_orders(spark, d):
     return _docs(spark, d).select("id", F.explode(X.court_orders(F.col("text"))).alias("court_order"))
 
 
-def _taught(spark, d):
+def _prepared(spark, d):
+    """The typed documents with their sentences and tokens as a table, for the steps of one query to share."""
+    return written(typed(with_tokens(with_sentences(_docs(spark, d)))), "prepared")
+
+
+def _taught(spark, d, docs=None, examples=None):
     """The learned areas of law of each document. The examples' own labels aren't in the tables; as those are what the patterns
     found in the text, the patterns give them again."""
-    x = _examples(spark, d).withColumn("labels", C.categories(T.clean(F.col("text"))))
-    return learned.categories(_docs(spark, d), "id", "text", learned.category_model(x))
+    x = (_examples(spark, d) if examples is None else examples).withColumn("labels", let(T.clean(F.col("text")), C.categories))
+    return learned.categories(_docs(spark, d) if docs is None else docs, "id", "text", learned.category_model(x))
 
 
 @query()
@@ -251,13 +257,13 @@ def learned_categories(spark, d):
 
 @query()
 def typed_issues(spark, d):
-    x = analyse(spread(_legal(spark, d)), _keywords(spark, d), _taught(spark, d))
+    x = _analysed(spark, d)[0]
     return x.select("id", F.posexplode("issues").alias("i", "issue")).select("id", (F.col("i") + 1).cast("long").alias("issue_no"), "issue")
 
 
 @query()
 def document_analysis(spark, d):
-    x = analyse(spread(_legal(spark, d)), _keywords(spark, d), _taught(spark, d)).drop("keywords")
+    x = _analysed(spark, d)[0].drop("keywords")
     return x.select(*(F.array_join(c, "|").alias(c) if t.startswith("array") else F.col(c) for c, t in x.dtypes))
 
 
@@ -270,11 +276,17 @@ def _tfidf(spark, d):
     return keywords.tfidf(x, "id", "sentences", "tokens")
 
 
-def _keywords(spark, d):
+def _analysed(spark, d):
+    """The analysis of each document with its keywords and learned areas of law, and the prepared documents."""
+    x, examples = _prepared(spark, d), written(_examples(spark, d), "examples")
+    return analysed(x, _keywords(spark, d, x, examples), _taught(spark, d, x, examples)), x
+
+
+def _keywords(spark, d, x=None, examples=None):
     """The keywords of each document, by all steps of the score: the learned terms it holds and, in legislation, its opening
     phrases are added. ``tfidf_topk`` stops before these, as its SQL."""
-    x = cut(typed(with_tokens(with_sentences(_docs(spark, d)))))
-    taught = learned.boosts(x, "id", "text", learned.model(_examples(spark, d)))
+    x = _prepared(spark, d) if x is None else x
+    taught = learned.boosts(x, "id", "text", learned.model(_examples(spark, d) if examples is None else examples))
     opening = keywords.opening_boosts(x.filter(C.legislative(F.col("doc_type"))), "id", "text")
     return keywords.tfidf(x, "id", "sentences", "tokens", boosts=(taught, opening))
 
@@ -321,8 +333,9 @@ def opening_keywords(spark, d):
 def _query_terms(spark, d):
     """(id, terms): what a document's passages are looked up by: the words of its type, its keywords, areas of law and parties
     in lower case, and its case number, court and judge as they stand. Repeated terms count again."""
-    x = analyse(spread(_legal(spark, d)), taught=_taught(spark, d)).select("id", "doc_type", "categories", "parties", "case_number", "court", "judge")
-    kw = _keywords(spark, d).groupBy("id").agg(F.array_sort(F.collect_list("term")).alias("kw"))
+    docs, examples = _prepared(spark, d), written(_examples(spark, d), "examples")
+    x = analysed(docs, taught=_taught(spark, d, docs, examples)).select("id", "doc_type", "categories", "parties", "case_number", "court", "judge")
+    kw = _keywords(spark, d, docs, examples).groupBy("id").agg(F.array_sort(F.collect_list("term")).alias("kw"))
     lower = lambda c: F.transform(c, lambda t: F.lower(t))
     parts = F.concat(F.split(F.lower("doc_type"), " "), lower(F.coalesce("kw", F.array().cast("array<string>"))), lower("categories"), lower("parties"), F.array("case_number", "court", "judge"))
     return x.join(kw, "id", "left").select("id", F.transform(F.array_compact(parts), lambda t: F.trim(t)).alias("terms"))
@@ -409,11 +422,11 @@ def search_affinity(spark, d):
 def _profiled(spark, d):
     """The records with what their document's profile and search fields are made of; a record without a document has its own
     fields alone."""
-    x = analyse(spread(_legal(spark, d)), _keywords(spark, d), _taught(spark, d))
+    x, docs = _analysed(spark, d)
     named = F.filter("keywords", lambda k: k.rlike("(?i)section|chapter|act"))
     panel = F.slice(F.array_distinct(F.concat("legal_references", X.references(F.coalesce("principles", F.lit(""))), named)), 1, 8)
     x = x.select("id", "keywords", "categories", "issues", panel.alias("references"), F.array_distinct(F.concat("parties", "persons", "organisations")).alias("entities"))
-    docs = _docs(spark, d).select("id", "filename", "text", X.instruments(F.col("text")).alias("instruments"))
+    docs = docs.select("id", "filename", "text", X.instruments(F.col("text")).alias("instruments"))
     records = table(spark, d, "summaries").select("id", "document_id", "document_type", "professional_summary", "citizen_summary")
     return records.join(x.join(docs, "id").withColumnRenamed("id", "document_id"), "document_id", "left")
 

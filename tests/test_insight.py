@@ -102,3 +102,11 @@ def test_windows_by_type(spark):
     for r in clauses.by_pattern(df, "id", "t", "k").collect():
         got.setdefault(r.id, set()).add(r.clause_type)
     assert got == {1: {"CASE_NUMBER", "PENALTY", "OFFICER_POWER"}, 2: {"CASE_NUMBER", "AMENDMENT"}, 3: {"CASE_NUMBER"}}
+
+
+def test_documents_are_prepared_once(spark, sf_dir):
+    """The plan of each query reads the documents' texts no more often than it has to; the prepared ones are a table."""
+    from lexmill.plans.reports import QUERIES
+
+    scans = lambda q: sum("Relation" in line and "extracted_text" in line for line in QUERIES[q](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert (scans("passage_scores"), scans("semantic_search"), scans("source_map")) == (1, 0, 2)
