@@ -106,7 +106,7 @@ def test_windows_by_type(spark):
 
 def test_documents_are_prepared_once(spark, sf_dir):
     """The plan of each query reads the documents' texts no more often than it has to; the prepared ones are a table."""
-    from lexmill.plans.reports import QUERIES
+    from lexmill.plans.insights import R
 
-    scans = lambda q: sum("Relation" in line and "extracted_text" in line for line in QUERIES[q](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    scans = lambda q: sum("Relation" in line and "extracted_text" in line for line in R.QUERIES[q](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines())
     assert (scans("passage_scores"), scans("semantic_search"), scans("source_map")) == (1, 0, 2)
