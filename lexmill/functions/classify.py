@@ -9,11 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
-from .rx import capped, count, has, let, squeeze
+from .rx import capped, count, gate, has, let, squeeze
 
 
 def weighted(x: Column, patterns) -> Column:
-    return reduce(add, (F.least(F.lit(4), count(x, p, "u")) * F.lit(w) for p, w in patterns), F.lit(0.0))
+    return reduce(add, (F.when(gate(x, p), F.least(F.lit(4), count(x, p, "u")) * F.lit(w)).otherwise(0.0) for p, w in patterns), F.lit(0.0))
 
 
 def title_line(x: Column) -> Column:
@@ -88,7 +88,8 @@ def readability(tokens: Column, n_sentences: Column) -> Column:
 
 def matching(x: Column, labels: dict[str, str]) -> Column:
     """The labels whose pattern stands anywhere in ``x``, in the fixed order."""
-    return F.array_compact(F.array(*(F.when(has(x, p, "i"), F.lit(k)) for k, p in labels.items())))
+    found = lambda z: F.array_compact(F.array(*(F.when(gate(z["low"], p) & has(z["x"], p, "i"), F.lit(k)) for k, p in labels.items())))
+    return let(let(x, lambda x: F.struct(x.alias("x"), F.lower(x).alias("low"))), found)
 
 
 def categories(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
-from .rx import all_of, capped, distinct_ci, first_of, has, ladder, let, missing, squeeze, sub
+from .rx import all_of, capped, distinct_ci, first_of, fold, gate, has, ladder, let, missing, squeeze, sub
 from .text import title_case
 
 _OUTER = r"^[ \t\n\r\x{00}\x{0B},.;:\-]+|[ \t\n\r\x{00}\x{0B},.;:\-]+$"
@@ -43,17 +43,20 @@ def legislative_date(text: Column) -> Column:
 def court(text: Column) -> Column:
     """The court of the caption in the first 3500 characters: captions at a line's start, then anywhere, the earliest
     first; else by the citation in the first twelve lines."""
-    head = F.substring(sub(text, r"[ \x{00A0}]+", " "), 1, 3500)
 
-    def earliest(prefix: str) -> Column:
-        at = F.array_compact(F.array(*(F.when(has(head, prefix + p + r"\b", "iu"), F.struct(F.regexp_instr(head, F.lit(f"(?iUd){prefix}{p}\\b")).alias("at"), F.lit(i).alias("i"), F.lit(name).alias("name"))) for i, (name, p) in enumerate(L.COURTS.items()))))
-        return F.array_min(at)["name"]
+    def earliest(z: Column, prefix: str) -> Column:
+        at = lambda i, name, p: F.when(gate(z["low"], p) & has(z["head"], prefix + p + r"\b", "iu"), F.struct(F.regexp_instr(z["head"], F.lit(f"(?iUd){prefix}{p}\\b")).alias("at"), F.lit(i).alias("i"), F.lit(name).alias("name")))
+        return F.array_min(F.array_compact(F.array(*(at(i, name, p) for i, (name, p) in enumerate(L.COURTS.items())))))["name"]
 
-    lines = F.array_join(F.slice(F.filter(F.transform(F.split(head, "\n"), lambda v: F.trim(v)), lambda x: x != ""), 1, 12), "\n")
-    cited = None
-    for name, p in L.COURT_CITATIONS.items():
-        cited = F.when(has(lines, p, "iu"), name) if cited is None else cited.when(has(lines, p, "iu"), name)
-    return F.coalesce(earliest(r"(?:^|\n)\s*(?:in\s+the\s+)?"), earliest(r"\b"), cited)
+    def cited(lines: Column) -> Column:
+        out = None
+        for name, p in L.COURT_CITATIONS.items():
+            out = F.when(has(lines, p, "iu"), name) if out is None else out.when(has(lines, p, "iu"), name)
+        return out
+
+    lines = lambda head: F.array_join(F.slice(F.filter(F.transform(F.split(head, "\n"), lambda v: F.trim(v)), lambda x: x != ""), 1, 12), "\n")
+    found = lambda z: F.coalesce(earliest(z, r"(?:^|\n)\s*(?:in\s+the\s+)?"), earliest(z, r"\b"), let(lines(z["head"]), cited))
+    return let(let(F.substring(sub(text, r"[ \x{00A0}]+", " "), 1, 3500), lambda head: F.struct(head.alias("head"), fold(head).alias("low"))), found)
 
 
 def _name(x: Column) -> Column:
@@ -83,11 +86,13 @@ def persons(text: Column) -> Column:
 
 
 def organisations(text: Column) -> Column:
-    found = F.concat(
-        all_of(text, r"([A-Z][A-Za-z0-9,&'\-\s()]{3,120}(?:Limited|Ltd|Pvt(?:\s+Ltd)?|Holdings|Corporation|Inc|Group|Trust|Foundation|Authority|Services|Agency|Commission|Committee|Council|University|Bank|Ministry|Department))", "u", 1),
-        all_of(text, L.PUBLIC_BODIES, "u", 1),
-        all_of(text, r"(?:^|\n)([A-Z][A-Z\s,&'\-\(\)]{5,120}(?:LIMITED|LTD|PVT(?:\s+LTD)?|GROUP|TRUST|AUTHORITY|AGENCY|COMMISSION|SERVICES|COUNCIL|UNIVERSITY|BANK|MINISTRY|DEPARTMENT))(?:\n|$)", "u", 1),
+    named = (
+        r"([A-Z][A-Za-z0-9,&'\-\s()]{3,120}(?:Limited|Ltd|Pvt(?:\s+Ltd)?|Holdings|Corporation|Inc|Group|Trust|Foundation|Authority|Services|Agency|Commission|Committee|Council|University|Bank|Ministry|Department))",
+        L.PUBLIC_BODIES,
+        r"(?:^|\n)([A-Z][A-Z\s,&'\-\(\)]{5,120}(?:LIMITED|LTD|PVT(?:\s+LTD)?|GROUP|TRUST|AUTHORITY|AGENCY|COMMISSION|SERVICES|COUNCIL|UNIVERSITY|BANK|MINISTRY|DEPARTMENT))(?:\n|$)",
     )
+    none = F.array().cast("array<string>")
+    found = let(text, lambda t: F.concat(*(F.when(gate(t, p), all_of(t, p, "u", 1)).otherwise(none) for p in named)))
     return capped(distinct_ci(F.transform(found, organisation)), 12)
 
 

@@ -6,10 +6,16 @@ sentences, which depends on its own earlier choices, folds over the sentences of
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections import Counter
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import lexicons as L
+from lexmill.functions import plain
 from lexmill.functions.rx import has
 from lexmill.functions.text import tokens, weak, word_set
 
@@ -46,6 +52,61 @@ def tfidf(df: DataFrame, key: str, sentences: str, all_tokens: str, n: int = 20,
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select(key, "rank", "term", "score")
 
 
+def ranked(taught: list[tuple[str, float]], n: int = 20) -> Callable:
+    """A function of a document (text, its lower case, its sentences, whether it is legislation): its ``n`` best (term, score), as
+    ``tfidf`` gives them with the boosts of the learned terms ``taught`` and, in legislation, of the opening."""
+    find = plain.finder([t for t, _ in taught])
+    boost = [plain.half_up(b) for _, b in taught]
+    kinds, weak, edge, end, legal = plain.Kinds(), plain.WEAK, plain.EDGE, plain.END, plain.LEGAL
+
+    def of(text: str, low: str, sents: list[str], legislation: bool) -> list[tuple[str, float]]:
+        within: list[str] = []
+        twos: list[str] = []
+        threes: list[str] = []
+        for s in sents:
+            ts = plain.tokens(s.lower())
+            within.extend(set(ts))
+            ks = [kinds[t] for t in ts]
+            two, three = set(), set()
+            for j, k in enumerate(ks):
+                if k & end and j and not (k | ks[j - 1]) & weak and not k & edge:
+                    if not ks[j - 1] & edge:
+                        two.add(f"{ts[j - 1]} {ts[j]}")
+                    if j > 1 and not ks[j - 2] & (weak | edge) and (k | ks[j - 1] | ks[j - 2]) & legal:
+                        three.add(f"{ts[j - 2]} {ts[j - 1]} {ts[j]}")
+            twos.extend(two)
+            threes.extend(three)
+        df, n_s = Counter(within), max(len(sents), 1)
+        idf = lambda d: math.log((1 + n_s) / (1 + d)) + 1
+        raw = {t: c * idf(df[t] or 1) * (1.2 if kinds[t] & legal else 1.0) for t, c in Counter(plain.tokens(low)).items() if not kinds[t] & weak}
+        for grams, w in ((twos, 1.0), (threes, 1.3)):
+            for t, c in Counter(grams).items():
+                raw[t] = c * w * idf(c) * 1.35 * (1.2 if any(kinds[x] & legal for x in t.split(" ")) else 1.0)
+        more: dict[str, float] = {}
+        for t, b in [*((taught[i][0], boost[i]) for i in find(low)), *(_opened(text, 20).items() if legislation else ())]:
+            more[t] = more.get(t, 0.0) + b
+        whole = raw | {t: raw.get(t, 0.0) + b for t, b in more.items()}
+        # only what rounding can still bring among the best is rounded
+        least = heapq.nlargest(n, whole.values())[-1] - 0.001 if whole else 0.0
+        exact = lambda t: plain.half_up(plain.half_up(raw.get(t, 0.0)) + more.get(t, 0.0))
+        best = sorted((-exact(t), t) for t, v in whole.items() if v >= least)[:n]
+        return [(t, -v) for v, t in best]
+
+    return of
+
+
+def _opened(text: str, n: int) -> dict[str, float]:
+    """``opening_boosts`` of one text."""
+    kinds = plain.Kinds()
+    t = [x for x in plain.tokens(text[:1200].lower()) if x in ("act", "bill") or not kinds[x] & plain.WEAK][:n]
+    out: dict[str, float] = {}
+    rows = [(x, 5.0 - min(i, 12) * 0.18) for i, x in enumerate(t)]
+    rows += [(" ".join(t[i : i + size]), 18.0 + max(0, 20 - i) + extra) for size, extra in ((2, 1.0), (3, 1.3)) for i in range(len(t) - size + 1)]
+    for x, b in rows:
+        out[x] = max(b, out.get(x, b))
+    return out
+
+
 def sentence_scores(df: DataFrame, key: str, sentences: str, keywords: DataFrame) -> DataFrame:
     """(key, i, sentence, score): by the keywords a sentence holds, its place, cues and length in bytes."""
     kw = keywords.groupBy(key).agg(F.collect_list(F.struct("term", "score")).alias("kw"))

@@ -67,19 +67,28 @@ def affinity(query: str, haystack: Column) -> Column:
     return total / F.lit(float(len(words)))
 
 
-def rank(df: DataFrame, query: str, key: str, text: str, haystack: list[str], more: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with ``search_score``, best first; rows under 0.08 without a word in common are left out. An empty query gives
-    ``df`` as it is. The lists in the columns ``more`` go into the profile, whose first 20 terms then join the haystack."""
-    if not query.strip():
-        return df
+def scored(df: DataFrame, query: str, text: str, haystack: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``affinity`` and ``search_score``; rows under 0.08 without a word in common are left out. The lists in the
+    columns ``more`` go into the profile, whose first 20 terms then join the haystack."""
     q = query_vector(query)
     qmap = F.create_map(*(F.lit(x) for kv in q.items() for x in kv)) if q else F.expr("cast(map() as map<int,double>)")
     none = F.array().cast("array<string>")
-    x = df.withColumn("_terms", terms(F.coalesce(text, F.lit("")), *(F.coalesce(c, none) for c in more)))
-    hay = F.lower(F.concat_ws(" ", *haystack, *([F.slice(F.array_distinct("_terms"), 1, 20)] if more else [])))
-    x = x.withColumn("_cos", let(vector(F.col("_terms")), lambda v: cosine(qmap, v))).withColumn("affinity", affinity(query, hay))
-    x = x.withColumn("search_score", F.round(F.col("_cos") * 0.7 + F.col("affinity") * 0.3, 4))
-    return x.filter("search_score >= 0.08 or affinity > 0").drop("_cos", "_terms").orderBy(F.desc("search_score"), key)
+    more_of = lambda t: [F.slice(F.array_distinct(t), 1, 20)] if more else []
+
+    def of(t: Column) -> Column:
+        near = lambda hay: affinity(query, hay)
+        pair = F.struct(let(vector(t), lambda v: cosine(qmap, v)).alias("cos"), let(F.lower(F.concat_ws(" ", *haystack, *more_of(t))), near).alias("affinity"))
+        return let(pair, lambda z: F.struct(z["affinity"].alias("affinity"), F.round(z["cos"] * 0.7 + z["affinity"] * 0.3, 4).alias("search_score")))
+
+    made = let(terms(F.coalesce(text, F.lit("")), *(F.coalesce(c, none) for c in more)), of)
+    # as one row each: a filter on what a projection makes would make it again
+    x = df.select("*", F.explode(F.array(made)).alias("_z")).select(*df.columns, "_z.affinity", "_z.search_score")
+    return x.filter("search_score >= 0.08 or affinity > 0")
+
+
+def rank(df: DataFrame, query: str, key: str, text: str, haystack: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """``scored``, best first. An empty query gives ``df`` as it is."""
+    return scored(df, query, text, haystack, more).orderBy(F.desc("search_score"), key) if query.strip() else df
 
 
 def snippet(text: Column, query: str, width: int = 260, lead: int = 110) -> Column:

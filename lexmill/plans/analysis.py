@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import classify as C
@@ -11,9 +11,9 @@ from lexmill.functions import text as T
 from lexmill.functions.rx import let
 
 
-def documents(legal: DataFrame) -> DataFrame:
-    """(id, filename, text): the cleaned text of every document that has one."""
-    return legal.filter("extracted_text is not null").select("id", F.coalesce("original_name", F.lit("")).alias("filename"), T.clean(F.col("extracted_text")).alias("text"))
+def documents(legal: DataFrame, *more: str) -> DataFrame:
+    """(id, filename, text): the cleaned text of every document that has one, with the columns ``more``."""
+    return legal.filter("extracted_text is not null").select("id", F.coalesce("original_name", F.lit("")).alias("filename"), *more, T.clean(F.col("extracted_text")).alias("text"))
 
 
 def with_sentences(docs: DataFrame) -> DataFrame:
@@ -29,19 +29,17 @@ def typed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_type", let(C.type_scores(F.col("text"), F.col("filename")), lambda z: C.document_type(z["scores"], z["titles"])))
 
 
-def analysed(x: DataFrame, keywords: DataFrame | None = None, taught: DataFrame | None = None) -> DataFrame:
-    """One row of results per document, of typed documents with sentences and tokens; columns that aren't selected are pruned
-    with what they need. ``keywords`` (id, rank, term) speak for issues, and ``taught`` (id, category, rank) are areas of law
-    after those of the patterns."""
-    x = x.withColumn("categories", C.categories(F.col("text")))
+def analysed(x: DataFrame, keywords: Column | None = None, taught: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row of results per document, of typed documents with sentences, tokens and perhaps ``categories``; columns that aren't selected are pruned
+    with what they need. ``keywords`` speak for issues, and ``taught`` are areas of law after those of the patterns;
+    ``keep`` are columns that stay."""
+    found = F.col("categories") if "categories" in x.columns else C.categories(F.col("text"))
     none = F.array().cast("array<string>")
-    listed = lambda df, col: df.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", col))), lambda r: r[col]).alias("listed"))
-    if taught is not None:
-        x = x.join(listed(taught, "category"), "id", "left").withColumn("categories", F.array_union("categories", F.coalesce("listed", none))).drop("listed")
-    x = x.withColumn("keywords", none) if keywords is None else x.join(listed(keywords, "term"), "id", "left").withColumn("keywords", F.coalesce("listed", none))
+    x = x.withColumn("categories", found if taught is None else F.array_union(found, taught)).withColumn("keywords", none if keywords is None else keywords)
     leg = C.legislative(F.col("doc_type"))
     return x.select(
         "id",
+        *keep,
         "doc_type",
         F.when(~leg, X.case_number(F.col("text"))).alias("case_number"),
         F.when(leg, X.legislative_date(F.col("text"))).otherwise(X.document_date(F.col("text"))).alias("document_date"),

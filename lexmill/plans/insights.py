@@ -111,8 +111,9 @@ def references_panel(spark, d):
 
 @query()
 def source_map(spark, d):
-    ids = evidence.balanced(R._passages(spark, d), "id").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "passage_id"))), lambda r: r["passage_id"]).alias("ids"))
-    x = R._docs(spark, d).select("id", (F.size(X.instruments(F.col("text"))) > 0).alias("cited"), (F.size(C.rights(X.references(F.col("text")), C.issues(F.col("text"), C.categories(F.col("text"))))) > 0).alias("rights"))
+    docs, text = R._prepared(spark, d, "extracted_text"), F.col("text")
+    ids = evidence.balanced(R._passages(docs), "id").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "passage_id"))), lambda r: r["passage_id"]).alias("ids"))
+    x = docs.select("id", (F.size(X.instruments(text)) > 0).alias("cited"), (F.size(C.rights(X.references(text), C.issues(text, F.col("categories")))) > 0).alias("rights"))
     m = x.join(ids, "id").select("id", F.explode(insight.source_map(F.col("ids"), F.col("cited"), F.col("rights"))).alias("m"))
     return m.select("id", "m.section", F.array_join("m.passage_ids", "|").alias("passage_ids"))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import classify as C
 from lexmill.functions import extract as X
 from lexmill.functions import lexicons as L
+from lexmill.functions import plain
 from lexmill.functions import text as T
 from lexmill.operators import clauses, evidence, keywords, learned, payload, relational, report, rouge, search
 from lexmill.functions.rx import let
@@ -238,16 +240,27 @@ def court_orders(spark, d):
     return _docs(spark, d).select("id", F.explode(X.court_orders(F.col("text"))).alias("court_order"))
 
 
-def _prepared(spark, d):
-    """The typed documents with their sentences and tokens as a table, for the steps of one query to share."""
-    return written(typed(with_tokens(with_sentences(_docs(spark, d)))), "prepared")
+def _prepared(spark, d, *more):
+    """The typed documents with their sentences, keywords, areas of law and learned areas as a table, for the steps of one query to share;
+    ``more`` are columns of the documents that it keeps."""
+    boosts, areas = learned.models(written(_examples(spark, d).withColumn("cleaned", T.clean(F.col("text"))), "examples"))
+    rank, areas_of = keywords.ranked(boosts), learned.best_categories(areas)
 
+    @F.pandas_udf("keywords array<struct<term:string,score:double>>, areas array<string>, categories array<string>")
+    def told(text: pd.Series, sentences: pd.Series, legislation: pd.Series) -> pd.DataFrame:
+        rows = [(x, x.lower(), s, law) for x, s, law in zip(text, sentences, legislation, strict=True)]
+        return pd.DataFrame({"keywords": [[{"term": t, "score": v} for t, v in rank(*r)] for r in rows], "areas": [areas_of(r[1]) for r in rows], "categories": [plain.categories(x) for x in text]})
 
-def _taught(spark, d, docs=None, examples=None):
+    x = typed(with_sentences(documents(spread(_legal(spark, d)), *more)))
+    x = x.withColumn("told", told("text", "sentences", C.legislative(F.col("doc_type"))))
+    return written(x.select("*", "told.keywords", "told.areas", "told.categories").drop("told"), "prepared")
+
+
+def _taught(spark, d):
     """The learned areas of law of each document. The examples' own labels aren't in the tables; as those are what the patterns
     found in the text, the patterns give them again."""
-    x = (_examples(spark, d) if examples is None else examples).withColumn("labels", let(T.clean(F.col("text")), C.categories))
-    return learned.categories(_docs(spark, d) if docs is None else docs, "id", "text", learned.category_model(x))
+    x = _examples(spark, d).withColumn("labels", let(T.clean(F.col("text")), C.categories))
+    return learned.categories(_docs(spark, d), "id", "text", learned.category_model(x))
 
 
 @query()
@@ -278,17 +291,15 @@ def _tfidf(spark, d):
 
 def _analysed(spark, d):
     """The analysis of each document with its keywords and learned areas of law, and the prepared documents."""
-    x, examples = _prepared(spark, d), written(_examples(spark, d), "examples")
-    return analysed(x, _keywords(spark, d, x, examples), _taught(spark, d, x, examples)), x
+    x = _prepared(spark, d)
+    return analysed(with_tokens(x), F.col("keywords.term"), F.col("areas")), x
 
 
-def _keywords(spark, d, x=None, examples=None):
+def _keywords(spark, d):
     """The keywords of each document, by all steps of the score: the learned terms it holds and, in legislation, its opening
     phrases are added. ``tfidf_topk`` stops before these, as its SQL."""
-    x = _prepared(spark, d) if x is None else x
-    taught = learned.boosts(x, "id", "text", learned.model(_examples(spark, d) if examples is None else examples))
-    opening = keywords.opening_boosts(x.filter(C.legislative(F.col("doc_type"))), "id", "text")
-    return keywords.tfidf(x, "id", "sentences", "tokens", boosts=(taught, opening))
+    x = _prepared(spark, d).select("id", F.posexplode("keywords").alias("i", "k"))
+    return x.select("id", (F.col("i") + 1).alias("rank"), "k.term", "k.score")
 
 
 _STOP = ", ".join(A.q(w) for w in L.STOP_WORDS)
@@ -330,30 +341,25 @@ def opening_keywords(spark, d):
     return keywords.opening_boosts(_docs(spark, d), "id", "text").withColumn("boost", F.round("boost", 4))
 
 
-def _query_terms(spark, d):
-    """(id, terms): what a document's passages are looked up by: the words of its type, its keywords, areas of law and parties
-    in lower case, and its case number, court and judge as they stand. Repeated terms count again."""
-    docs, examples = _prepared(spark, d), written(_examples(spark, d), "examples")
-    x = analysed(docs, taught=_taught(spark, d, docs, examples)).select("id", "doc_type", "categories", "parties", "case_number", "court", "judge")
-    kw = _keywords(spark, d, docs, examples).groupBy("id").agg(F.array_sort(F.collect_list("term")).alias("kw"))
+def _passages(docs):
+    """The passages of documents that were prepared with their raw text. They are looked up by the words of the document's type, its
+    keywords, areas of law and parties in lower case, and its case number, court and judge as they stand. Repeated terms count
+    again."""
+    x = analysed(with_tokens(docs), F.col("keywords.term"), F.col("areas"), ("extracted_text",)).select("id", "extracted_text", "doc_type", "keywords", "categories", "parties", "case_number", "court", "judge")
     lower = lambda c: F.transform(c, lambda t: F.lower(t))
-    parts = F.concat(F.split(F.lower("doc_type"), " "), lower(F.coalesce("kw", F.array().cast("array<string>"))), lower("categories"), lower("parties"), F.array("case_number", "court", "judge"))
-    return x.join(kw, "id", "left").select("id", F.transform(F.array_compact(parts), lambda t: F.trim(t)).alias("terms"))
-
-
-def _passages(spark, d):
-    x = spread(_legal(spark, d, "id", "extracted_text")).filter("extracted_text is not null").join(_query_terms(spark, d), "id")
+    parts = F.concat(F.split(F.lower("doc_type"), " "), lower(F.array_sort("keywords")), lower("categories"), lower("parties"), F.array("case_number", "court", "judge"))
+    x = x.select("id", "extracted_text", F.transform(F.array_compact(parts), lambda t: F.trim(t)).alias("terms"))
     return evidence.passages(x, "id", "extracted_text", "terms")
 
 
 @query()
 def passage_scores(spark, d):
-    return _passages(spark, d).select("id", "passage_id", "page", "score", "kind")
+    return _passages(_prepared(spark, d, "extracted_text")).select("id", "passage_id", "page", "score", "kind")
 
 
 @query()
 def passage_balanced(spark, d):
-    return evidence.balanced(_passages(spark, d), "id")
+    return evidence.balanced(_passages(_prepared(spark, d, "extracted_text")), "id")
 
 
 # --- clauses, evidence, risk -----------------------------------------------------------------------------------------------
@@ -435,7 +441,9 @@ def _profiled(spark, d):
 def semantic_search(spark, d):
     """Over whole profiles and all seven search fields; ``search_affinity`` reads three of the fields, as its SQL."""
     hay = ["filename", "document_type", "professional_summary", "citizen_summary", "entities", "issues"]
-    return search.rank(_profiled(spark, d), QUERY, "id", "text", hay, ("keywords", "categories", "issues", "instruments", "references")).select("id", "affinity", "search_score")
+    x = search.scored(_profiled(spark, d), QUERY, "text", hay, ("keywords", "categories", "issues", "instruments", "references")).select("id", "affinity", "search_score")
+    # a sort reads its rows twice, for the ranges and for the order
+    return cut(x).orderBy(F.desc("search_score"), "id")
 
 
 @query("SELECT id, substr(citizen_summary, CAST(greatest(1, strpos(lower(citizen_summary), 'court') - 110) AS BIGINT), 260) AS snippet FROM summaries WHERE strpos(lower(citizen_summary), 'court') > 0")

@@ -110,3 +110,52 @@ def test_documents_are_prepared_once(spark, sf_dir):
 
     scans = lambda q: sum("Relation" in line and "extracted_text" in line for line in R.QUERIES[q](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines())
     assert (scans("passage_scores"), scans("semantic_search"), scans("source_map")) == (1, 0, 2)
+
+
+ODD = ["The contract of the notice party was a sub-contract. The mining lease agreement and the mining lease agreement stood by the court order. The don't-care clause''s lease ended.", "Ärzte prüfen den Vertrag-s und die contract lease court order. Der Vertrag ist die lease agreement registration court project.", "अधिनियम की धारा contract court order के अनुसार लिखित आवेदन। The labour\xa0court judgment notice stood", "İstanbul lease agreement ΟΔΟΣ court registration contract law. État contract́ lease notice party", ""]
+
+
+def test_search_sorts_what_is_made(spark, sf_dir):
+    from lexmill.plans.insights import R
+
+    assert "crc32" not in R.QUERIES["semantic_search"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plain_ranking_equals_the_columns(spark):
+    from lexmill.functions import text as T
+    from lexmill.operators import keywords, learned
+
+    x = spark.createDataFrame(list(enumerate(ODD)), "id int, text string").withColumn("sentences", T.sentences(F.col("text"))).withColumn("tokens", T.tokens(F.col("text"))).cache()
+    model = spark.createDataFrame([("lease agreement", 3.0, 2), ("mining", 1.0, 8), ("rtrag", 9.0, 2)], "term string, weight double, examples_seen long")
+    taught = [("lease agreement", 1.5), ("mining", 0.25), ("rtrag", 4.0)]
+    want = keywords.tfidf(x, "id", "sentences", "tokens", boosts=(learned.boosts(x, "id", "text", model), keywords.opening_boosts(x.filter("id < 3"), "id", "text")))
+    want = {(r.id, r["rank"]): (r.term, r.score) for r in want.collect()}
+    of = keywords.ranked(taught)
+    got = {(r.id, i + 1): z for r in x.collect() for i, z in enumerate(of(r.text, r.text.lower(), r.sentences, r.id < 3))}
+    assert got == want and len(want) > 20
+
+
+def test_plain_models_equal_the_columns(spark):
+    from lexmill.functions import classify as C
+    from lexmill.operators import learned
+
+    ex = spark.createDataFrame([(str(i), t, f"tail {i} goes\xa0on") for i, t in enumerate([*ODD[:4], "mining lease", "one lease  \n", "lease now to"])], "id string, text string, target string").cache()
+    boosts, areas = learned.models(ex.withColumn("cleaned", F.col("text")))
+    labelled = ex.withColumn("labels", C.categories(F.col("text"))).cache()
+    assert sorted(areas) == sorted((r.category, r.term, r.weight) for r in learned.category_model(labelled).collect()) and len(areas) > 10
+    assert boosts == [(r.term, max(0.25, min(4.0, r.weight / r.examples_seen))) for r in learned.model(ex).orderBy("term").collect()]
+    docs = spark.createDataFrame(list(enumerate(ODD)), "id int, text string")
+    of = learned.best_categories(areas)
+    want = {}
+    for r in learned.categories(docs, "id", "text", learned.category_model(labelled)).orderBy("id", "rank").collect():
+        want.setdefault(r.id, []).append(r.category)
+    assert {i: of(t.lower()) for i, t in enumerate(ODD) if of(t.lower())} == want
+
+
+def test_gates_and_first_characters_lose_no_match(spark):
+    from lexmill.functions import rx
+
+    assert rx.needed(r"\b(lease|rental) agree(?:ment)?\b") == (("lease", "rental"), (" agree",)) and rx.needed(r"x?\d+") == ()
+    assert rx.rx(r"\b(?:lease|s\.)x").endswith(r"(?=[\x{6c}\x{73}])\b(?:lease|s\.)x") and rx.rx(r"\b[^a]x") == r"(?d)\b[^a]x"
+    x = spark.createDataFrame([("mİnıſtry of Kings",)], "t string")
+    assert x.select(rx.gate(rx.fold(F.col("t")), "ministry").alias("g"), rx.gate(rx.fold(F.col("t")), "king").alias("h"), rx.gate(F.col("t"), "heron").alias("n")).first() == (True, True, False)
