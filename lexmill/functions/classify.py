@@ -130,9 +130,12 @@ def legislative_issues(text: Column, keywords: Column | None = None) -> Column:
 
 
 def rights(references: Column, found_issues: Column) -> Column:
-    joined = F.lower(F.array_join(F.concat(references, found_issues), " "))
-    named = F.array_compact(F.array(*(F.when(joined.contains(n), F.lit(k)) for k, n in L.RIGHTS.items())))
-    return F.when((F.size(named) == 0) & F.array_contains(found_issues, "Constitutional rights"), F.array(F.lit(L.RIGHTS_OPEN))).otherwise(named)
+    def of(z: Column) -> Column:
+        named = lambda joined: F.array_compact(F.array(*(F.when(joined.contains(n), F.lit(k)) for k, n in L.RIGHTS.items())))
+        open_ = lambda n: F.when((F.size(n) == 0) & F.array_contains(z["i"], "Constitutional rights"), F.array(F.lit(L.RIGHTS_OPEN))).otherwise(n)
+        return let(let(F.lower(F.array_join(F.concat(z["r"], z["i"]), " ")), named), open_)
+
+    return let(F.struct(references.alias("r"), found_issues.alias("i")), of)
 
 
 def badge(kind: Column) -> Column:

@@ -115,6 +115,17 @@ def test_documents_are_prepared_once(spark, sf_dir):
 ODD = ["The contract of the notice party was a sub-contract. The mining lease agreement and the mining lease agreement stood by the court order. The don't-care clause''s lease ended.", "Ärzte prüfen den Vertrag-s und die contract lease court order. Der Vertrag ist die lease agreement registration court project.", "अधिनियम की धारा contract court order के अनुसार लिखित आवेदन। The labour\xa0court judgment notice stood", "İstanbul lease agreement ΟΔΟΣ court registration contract law. État contract́ lease notice party", ""]
 
 
+def test_rights_bind_what_they_read(spark):
+    from lexmill.functions import classify as C
+    from lexmill.functions import extract as X
+
+    x = spark.createDataFrame([("Under Section 56(1) of the Constitution and Chapter 2:03 it stands.", ["Constitutional rights"])], "t string, i array<string>")
+    df = x.select(C.rights(X.references(F.col("t")), F.col("i")).alias("r"))
+    # each of the references' patterns once, and not once for every right
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 3
+    assert df.first().r
+
+
 def test_search_sorts_what_is_made(spark, sf_dir):
     from lexmill.plans.insights import R
 
